@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from termloom.llm import mixing
+from termloom.llm import lines, mixing
 
 
 def queries() -> dict:
-    return {"op2_source_mix": mixing.op2_source_mix}
+    return {"op2_source_mix": mixing.op2_source_mix, "op5_line_dedup": lines.op5_line_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_source_mix": mixing.OP2_SQL}
+    return {"op2_source_mix": mixing.OP2_SQL, "op5_line_dedup": lines.OP5_SQL}
