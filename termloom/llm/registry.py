@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from termloom.llm import bpe, lines, mixing
+from termloom.llm import bpe, lines, mixing, toxicity
 
 
 def queries() -> dict:
-    return {"op2_source_mix": mixing.op2_source_mix, "op5_line_dedup": lines.op5_line_dedup, "op9_bpe": bpe.op9_bpe}
+    return {"op2_source_mix": mixing.op2_source_mix, "op5_line_dedup": lines.op5_line_dedup, "op9_bpe": bpe.op9_bpe, "op4_toxicity": toxicity.op4_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
