@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from termloom.llm import bpe, lines, mixing, toxicity
+from termloom.llm import bpe, lines, mixing, toxicity, warc
 
 
 def queries() -> dict:
-    return {"op2_source_mix": mixing.op2_source_mix, "op5_line_dedup": lines.op5_line_dedup, "op9_bpe": bpe.op9_bpe, "op4_toxicity": toxicity.op4_toxicity}
+    return {
+        "op2_source_mix": mixing.op2_source_mix,
+        "op3_warc": warc.op3_warc,
+        "op4_toxicity": toxicity.op4_toxicity,
+        "op5_line_dedup": lines.op5_line_dedup,
+        "op9_bpe": bpe.op9_bpe,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
