@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from termloom.llm import bpe, lines, mixing, toxicity, warc
+from termloom.llm import bpe, embeddings, lines, media, mixing, toxicity, warc
 
 
 def queries() -> dict:
     return {
+        "op1_embedding_dedup": embeddings.op1_embedding_dedup,
         "op2_source_mix": mixing.op2_source_mix,
         "op3_warc": warc.op3_warc,
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_line_dedup": lines.op5_line_dedup,
+        "op7_media": media.op7_media,
         "op9_bpe": bpe.op9_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_source_mix": mixing.OP2_SQL, "op5_line_dedup": lines.OP5_SQL}
+    return {"op1_embedding_dedup": embeddings.OP1_SQL, "op2_source_mix": mixing.OP2_SQL, "op5_line_dedup": lines.OP5_SQL}
