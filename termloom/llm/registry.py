@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from termloom.llm import bpe, embeddings, lines, media, mixing, toxicity, warc
+from termloom.llm import bpe, embeddings, jaccard, lines, media, mixing, toxicity, warc
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_line_dedup": lines.op5_line_dedup,
         "op7_media": media.op7_media,
         "op9_bpe": bpe.op9_bpe,
+        "op10_ngram_jaccard": jaccard.op10_ngram_jaccard,
     }
 
 
