@@ -63,6 +63,11 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: tuple[int,
     return s.select("source", "source_size", target.alias("target"))
 
 
+def let(value: Column, body) -> Column:
+    """body of a value that is computed once: transform() over one element names it, which SQL expressions can't otherwise do."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def log_factorial(x: Column) -> Column:
     """ln x!, from a list for small x and by Stirling's series beyond."""
     small = F.element_at(F.array(*(F.lit(math.lgamma(i + 1)) for i in range(11))), F.least(F.lit(11), x + 1).cast("int"))
@@ -82,9 +87,6 @@ def hypergeometric(u: Column, good: Column, total: Column, drawn: Column) -> Col
     high = F.least(drawn, good, F.ceil(mean + spread))
     weigh = lambda k: -(log_factorial(k) + log_factorial(good - k) + log_factorial(drawn - k) + log_factorial(total - good - drawn + k))
     logs = F.transform(F.sequence(low, high), lambda k: F.struct(k.alias("k"), weigh(k).alias("w")))
-    # transform() over a one-element array names an intermediate result, which SQL expressions can't otherwise do
-    let = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
-
     def draw(rows: Column) -> Column:
         top = F.aggregate(rows, F.lit(float("-inf")), lambda a, r: F.greatest(a, r["w"]))
         return let(top, lambda t: let(F.transform(rows, lambda r: F.struct(r["k"].alias("k"), F.exp(r["w"] - t).alias("p"))), invert))
@@ -139,6 +141,7 @@ def plan_mix(
     is taken whole or not at all, so a source's words differ from its target by a block's overhang.
     """
     sizes = document_sizes(docs, keep).withColumn("h", uniform(F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    sizes, _ = materialize(sizes, "mix-sizes")
     count, words = sizes.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     bits = max(0, math.ceil(math.log2(max(1, count) / 4096)))
     shards = 1 << max(2, math.ceil(math.log2(max(1, words * share[0] / share[1] / shard_words))))
@@ -148,6 +151,9 @@ def plan_mix(
     sources = sources.withColumns({"whole": F.round("target").cast("bigint")}).withColumns({"passes": F.floor(F.col("whole") / size), "rest": F.pmod("whole", size)})
     sources = sources.withColumns({"blocks": F.ceil(F.col("source_size") / b), "full": F.floor(F.col("source_size") / b)})
     sources = sources.withColumn("quota", F.col("passes") * F.col("blocks") + F.ceil(F.col("rest") / b))
+    key = lambda what, epoch: uniform(F.lit(f"{seed}:{what}"), F.coalesce("source", F.lit("")), F.col("source").isNull().cast("string"), F.lit(str(epoch)))
+    prime = lambda epoch: F.element_at(F.array(*map(F.lit, PRIMES)), (F.pmod(key("a", epoch), F.lit(3)) + 1).cast("int")).cast("bigint")
+    sources = sources.withColumn("keys", F.array(*(F.struct(prime(e).alias("prime"), key("b", e).alias("shift")) for e in range(most + 1))))
     sources, _ = materialize(sources, "mix-sources")
     bounds = splitting_tree(sources.select("source", "quota"), shards, seed)
     sources = sources.alias("s").join(bounds.alias("t"), F.col("s.source").eqNullSafe(F.col("t.source"))).select("s.*", "t.bounds")
@@ -166,28 +172,26 @@ def plan_mix(
     first, last = F.floor(F.col("at") / b), F.floor((F.col("at") + F.col("size") - 1) / b)
     shard_of = lambda x: F.coalesce(F.array_position(F.transform("bounds", lambda e: e > x), True).cast("int") - 1, F.lit(-1))
 
-    def permuted(block, epoch):
-        key = lambda what: uniform(F.lit(f"{seed}:{what}"), F.coalesce("source", F.lit("")), F.col("source").isNull().cast("string"), epoch.cast("string"))
-        prime = F.element_at(F.array(*map(F.lit, PRIMES)), (F.pmod(key("a"), F.lit(3)) + 1).cast("int")).cast("bigint")
+    def permuted(block, key):
         full = F.greatest("full", F.lit(1))
-        return F.when(block >= F.col("full"), block).otherwise(F.pmod(block * prime + F.pmod(key("b"), full), full))
+        return F.when(block >= F.col("full"), block).otherwise(F.pmod(block * key["prime"] + F.pmod(key["shift"], full), full))
 
-    def piece(block, epoch):
-        place = permuted(block, epoch)
+    def piece(block, epoch, place):
         if whole_documents:
-            start, room, n = F.lit(0).cast("bigint"), F.when((epoch < F.col("passes")) | (place * b < F.col("rest")), F.col("size")).otherwise(0), F.col("size")
+            start, n = F.lit(0).cast("bigint"), F.col("size")
+            room = F.when((epoch < F.col("passes")) | (place * b < F.col("rest")), n).otherwise(0)
         else:
             start = F.greatest(block * b - F.col("at"), F.lit(0))
             n = F.least((block + 1) * b - F.col("at"), F.col("size")) - start
             cut = F.col("rest") - place * b - (F.col("at") + start - block * b)
             room = F.when(epoch < F.col("passes"), n).otherwise(cut)
         instance = epoch * F.col("blocks") + place
-        order = uniform(F.lit(f"{seed}:o"), F.coalesce("source", F.lit("")), instance.cast("string"))
+        order = F.xxhash64(F.lit(seed), F.col("source"), instance)
         return F.struct(shard_of(instance).alias("shard"), order.alias("place"), epoch.alias("epoch"), block.alias("block"), start.alias("start"), F.least(n, F.greatest(room, F.lit(0))).alias("n"))
 
     epochs = F.sequence(F.lit(0).cast("bigint"), F.col("passes"))
     touched = F.array(first) if whole_documents else F.sequence(first, last)
-    pieces = F.flatten(F.transform(epochs, lambda e: F.transform(touched, lambda k: piece(k, e))))
+    pieces = F.flatten(F.transform(epochs, lambda e: let(F.get("keys", e.cast("int")), lambda key: F.transform(touched, lambda k: let(permuted(k, key), lambda place: piece(k, e, place))))))
     pieces = F.when(F.col("size") > 0, F.filter(pieces, lambda p: p["n"] > 0)).otherwise(F.expr("filter(array(named_struct('shard', 0, 'place', 0L, 'epoch', 0L, 'block', 0L, 'start', 0L, 'n', 0L)), p -> false)"))
     return placed.select("doc_id", "source", "size", "source_size", "target", *keep, pieces.alias("pieces"))
 
