@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from termloom.llm import bpe, embeddings, jaccard, lines, media, mixing, toxicity, warc
+from termloom.llm import bpe, embeddings, jaccard, lines, media, mixing, substrings, toxicity, warc
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_warc": warc.op3_warc,
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_line_dedup": lines.op5_line_dedup,
+        "op6_suffix_dedup": substrings.op6_suffix_dedup,
         "op7_media": media.op7_media,
         "op9_bpe": bpe.op9_bpe,
         "op10_ngram_jaccard": jaccard.op10_ngram_jaccard,

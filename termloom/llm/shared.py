@@ -44,6 +44,7 @@ def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
+    spark._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files of plans that have ended
     return spark.read.schema(df.schema).parquet(path), path
 
 

@@ -33,7 +33,8 @@ def test_concatenated_units_equal_the_library(leaf):
 
 def test_very_long_unsplit_text():
     own = bpe.Encoder(PATH)
-    text = "".join(random.Random(3).choice("abcdefghij") for _ in range(60_000))
+    rng = random.Random(3)
+    text = "".join(rng.choice("abcdefghij") for _ in range(60_000))
     assert own.encode(text) == whole(own, text)
 
 
