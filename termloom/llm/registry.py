@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from termloom.llm import bpe, embeddings, jaccard, lines, media, mixing, substrings, toxicity, warc
+from termloom.llm import bpe, embeddings, jaccard, lines, media, mixing, quotes, substrings, toxicity, warc
 
 
 def queries() -> dict:
@@ -14,10 +14,16 @@ def queries() -> dict:
         "op5_line_dedup": lines.op5_line_dedup,
         "op6_suffix_dedup": substrings.op6_suffix_dedup,
         "op7_media": media.op7_media,
+        "op8_quote_links": quotes.op8_quote_links,
         "op9_bpe": bpe.op9_bpe,
         "op10_ngram_jaccard": jaccard.op10_ngram_jaccard,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_embedding_dedup": embeddings.OP1_SQL, "op2_source_mix": mixing.OP2_SQL, "op5_line_dedup": lines.OP5_SQL}
+    return {
+        "op1_embedding_dedup": embeddings.OP1_SQL,
+        "op2_source_mix": mixing.OP2_SQL,
+        "op5_line_dedup": lines.OP5_SQL,
+        "op8_quote_links": quotes.OP8_SQL,
+    }
