@@ -140,8 +140,8 @@ def plan_mix(
     The mixture has share[0] / share[1] times all words. whole_documents: a document belongs to the block of its first word and
     is taken whole or not at all, so a source's words differ from its target by a block's overhang.
     """
-    sizes = document_sizes(docs, keep).withColumn("h", uniform(F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    sizes, _ = materialize(sizes, "mix-sizes")
+    hashed = uniform(F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    sizes, _ = materialize(document_sizes(docs).withColumn("h", hashed), "mix-sizes")
     count, words = sizes.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     bits = max(0, math.ceil(math.log2(max(1, count) / 4096)))
     shards = 1 << max(2, math.ceil(math.log2(max(1, words * share[0] / share[1] / shard_words))))
@@ -158,12 +158,13 @@ def plan_mix(
     bounds = splitting_tree(sources.select("source", "quota"), shards, seed)
     sources = sources.alias("s").join(bounds.alias("t"), F.col("s.source").eqNullSafe(F.col("t.source"))).select("s.*", "t.bounds")
 
-    sizes = sizes.withColumn("bucket", F.shiftright("h", 60 - bits) if bits else F.lit(0).cast("bigint"))
-    sums = sizes.groupBy("source", "bucket").agg(F.sum("size").alias("in_bucket"))
+    bucket = F.shiftright("h", 60 - bits) if bits else F.lit(0).cast("bigint")
+    sums = sizes.withColumn("bucket", bucket).groupBy("source", "bucket").agg(F.sum("size").alias("in_bucket"))
     before = F.sum("in_bucket").over(W.partitionBy("source").orderBy("bucket")) - F.col("in_bucket")
     offsets = sums.select(F.col("source").alias("o_source"), F.col("bucket").alias("o_bucket"), before.alias("offset"))
     inside = F.sum("size").over(W.partitionBy("source", "bucket").orderBy("h", "doc_id").rowsBetween(W.unboundedPreceding, 0)) - F.col("size")
-    placed = sizes.withColumn("inside", inside)
+    rows = document_sizes(docs, keep).withColumn("h", hashed) if keep else sizes
+    placed = rows.withColumn("bucket", bucket).withColumn("inside", inside)
     placed = placed.join(offsets, F.col("source").eqNullSafe(F.col("o_source")) & (F.col("bucket") == F.col("o_bucket")))
     placed = placed.withColumn("at", F.col("offset") + F.col("inside")).drop("o_source", "o_bucket", "offset", "inside", "bucket", "h")
     sources = sources.withColumnRenamed("source", "t_source")
