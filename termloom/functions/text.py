@@ -3,6 +3,7 @@
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from termloom.functions.porter import stem
 
@@ -92,7 +93,7 @@ def analyze(rows: DataFrame, key: str, text: str, mode: str = "symbol", stem: bo
     return rows.join(back, key, "left").select(key, trim_apostrophes(F.coalesce("found", F.array().cast("array<string>"))).alias("tokens"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def stemmed(words: pd.Series) -> pd.Series:
     return words.map(stem)
 
