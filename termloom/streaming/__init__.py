@@ -1 +1 @@
-"""Part of termloom."""
+"""Click statistics over streams."""
