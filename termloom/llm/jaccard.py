@@ -10,7 +10,7 @@ A document is the set of its distinct word shingles; documents with equal sets a
 2. Inside a cluster the group counts of each set are a point, and points go into an R-tree. The sum of coordinate minima of a
    point and a node's upper corner bounds the overlap with every set below it; nodes and points whose bound can't reach the
    threshold are left out, and survivors that aren't connected yet are verified by intersecting the shingles. Clusters with many shingles
-   are cut into blocks, and each pair of blocks is a unit of its own.
+   are cut into blocks by set size, then by a hash, and each pair of blocks whose sizes allow a link is a unit of its own.
 3. Components of the verified links.
 
 Only edges of forests leave a task, so rows never grow with the square of a group. Sets and shingles are told apart by 64-bit hashes.
@@ -22,15 +22,18 @@ table gives an empty result. Columns besides doc_id and text are ignored.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from termloom.llm.graph import components
 from termloom.llm.groups import map_groups
 from termloom.llm.hashing import MASK, U, mix, shingles, word_hashes
-from termloom.llm.shared import materialize, table
+from termloom.llm.shared import materialize, maybe_in, table
 
 
 def set_hash(s: np.ndarray) -> int:
@@ -168,6 +171,37 @@ def verified(group: pa.Table, percent: int) -> dict | None:
     return {"a": a, "b": b} if a else None
 
 
+def _nodes(batches, width: int):
+    for batch in batches:
+        sets = [shingles(word_hashes((t.as_py() or "").encode("utf-8", "surrogatepass")), width) for t in batch["text"]]
+        yield pa.RecordBatch.from_arrays([batch["text"], pa.array([set_hash(s) for s in sets], pa.int64())], ["text", "node"])
+
+
+def units(members: DataFrame, percent: int, block_shingles: int, block_docs: int) -> DataFrame:
+    """node, component, first, sub (a block) and units (the pairs of blocks to compare) of every member of a candidate cluster.
+
+    A cluster within the limits is one block. A larger one is cut by set size into classes, of which only neighbours can hold linked
+    sets, and a class over the limits is cut further by a hash. Blocks are numbered class * 2^16 + part.
+    """
+    wide = math.log(100 / percent) * 1.001  # a little more than linked sizes can differ by
+    size = F.greatest(F.ceil(F.sum("n") / block_shingles), F.ceil(F.count(F.lit(1)) / block_docs)).cast("int")
+    whole = members.groupBy("component").agg((size > 1).alias("large"))
+    rows = members.join(whole, "component").withColumn("class", F.when(F.col("large"), F.floor(F.ln("n") / wide)).otherwise(0).cast("int"))
+    parts = rows.groupBy("component", "class").agg(size.alias("parts"))
+    near = W.partitionBy("component").orderBy("class")  # some sixty classes at most
+    beside = lambda fn, step: F.when(fn("class").over(near) == F.col("class") + step, fn("parts").over(near)).otherwise(0)
+    parts = parts.withColumns({"before": F.coalesce(beside(F.lag, -1), F.lit(0)), "after": F.coalesce(beside(F.lead, 1), F.lit(0))})
+    rows = rows.join(parts, ["component", "class"])
+    part = F.pmod(F.xxhash64(F.lit(1), "node"), F.col("parts")).cast("int")
+    block = lambda c, k: (c * 65536 + k).cast("int")
+    rows = rows.withColumn("part", part).withColumn("sub", block(F.col("class"), F.col("part")))
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    pair = lambda x, y: F.struct(F.least(x, y).alias("bi"), F.greatest(x, y).alias("bj"))
+    each = lambda n, step: F.transform(upto(n), lambda k: pair(F.col("sub"), block(F.col("class") + step, k)))
+    found = F.concat(each(F.col("parts"), 0), each(F.col("before"), -1), each(F.col("after"), 1))
+    return rows.select("node", "component", "first", "sub", found.alias("units"))
+
+
 def similar_documents(docs: DataFrame, width: int = 4, percent: int = 85, block_shingles: int = 1 << 21, block_docs: int = 2048) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs (doc_id, text)."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
@@ -217,8 +251,6 @@ def similar_documents(docs: DataFrame, width: int = 4, percent: int = 85, block_
         if sigs:
             yield from flush()
 
-    from pyspark.sql import Window as W
-
     buckets = rows.select("text").mapInArrow(sign, "sig bigint, node bigint, other bigint")
     chained = buckets.withColumn("before", F.lag("node").over(W.partitionBy("sig", F.col("other").isNull()).orderBy("node")))
     edges = chained.select("node", F.when(F.col("other").isNull(), F.col("before")).otherwise(F.col("other")).alias("other")).where("node <> other")
@@ -227,24 +259,25 @@ def similar_documents(docs: DataFrame, width: int = 4, percent: int = 85, block_
     first = shapes.groupBy("node").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"))
     members = clusters.join(first, "node").select("node", "component", "first", "n")
     members, _ = materialize(members, "members")
-    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles"))
-    blocks = F.greatest(F.ceil(F.col("shingles") / block_shingles), F.ceil(F.col("docs") / block_docs)).cast("int")
-    placed = members.join(sizes.select("component", blocks.alias("blocks")), "component")
-    placed = placed.select("node", "component", "blocks", F.pmod(F.xxhash64(F.lit(1), "node"), F.col("blocks")).cast("int").alias("sub"), "first")
+    placed = units(members, percent, block_shingles, block_docs)
 
     def gather(batches):
         for batch in batches:
             sets = [shingles(word_hashes((t.as_py() or "").encode("utf-8", "surrogatepass")), width) for t in batch["text"]]
-            yield pa.RecordBatch.from_arrays([pa.array([set_hash(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "shingles"])
-
-    texts = rows.join(members.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi").select("text")
-    unnamed = members.where("first is null").select("node")
+            yield pa.RecordBatch.from_arrays(
+                [batch["node"], batch["component"], batch["sub"], batch["units"], pa.array([set_hash(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                ["node", "component", "sub", "units", "own", "shingles"],
+            )
+
+    likely = maybe_in(rows, "doc_id", members.select(F.col("first").alias("doc_id")))
+    texts = likely.join(placed.withColumnRenamed("first", "doc_id"), "doc_id").drop("doc_id")
+    unnamed = placed.where("first is null").drop("first")
     if unnamed.limit(1).count():  # sets that only rows without an id have
-        texts = texts.unionByName(rows.where("doc_id is null").select("text"))
-    held = texts.mapInArrow(gather, "node bigint, shingles binary").join(placed.drop("first"), "node")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    held = held.select("node", "component", "sub", "shingles", other.alias("o"))
-    held = held.select("node", "component", "sub", "shingles", F.least("sub", "o").alias("bi"), F.greatest("sub", "o").alias("bj"))
+        nodes = rows.where("doc_id is null").select("text").mapInArrow(lambda it: _nodes(it, width), "text string, node bigint").dropDuplicates(["node"])
+        texts = texts.unionByName(nodes.join(unnamed, "node").select(texts.columns))
+    held = texts.select("text", "node", "component", "sub", "units").mapInArrow(gather, "node bigint, component bigint, sub int, units array<struct<bi int, bj int>>, own bigint, shingles binary")
+    # rows that share a doc_id may hold other texts than the one that was placed
+    held = held.where("own = node").select("node", "component", "sub", "shingles", F.explode("units").alias("u")).select("node", "component", "sub", "shingles", "u.bi", "u.bj")
     links = map_groups(held, ["component", "bi", "bj"], lambda g: verified(g, percent), "a bigint, b bigint", pa.schema([("a", pa.int64()), ("b", pa.int64())]))
     reached = components(links)
     least = reached.join(first, "node").groupBy("component").agg(F.min("first").alias("least"))

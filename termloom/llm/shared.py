@@ -10,7 +10,10 @@ import re
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: White space of the text contracts: space and the controls from tab to carriage return.
 SPACES = " \t\n\x0b\x0c\r"
@@ -48,5 +51,28 @@ def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def maybe_in(rows: DataFrame, key: str, keys: DataFrame, bits: int = 1 << 25) -> DataFrame:
+    """The rows whose key may be among the keys (same column name): all that are, and few others while keys are under bits / 10.
+
+    A Bloom filter of fixed size, whatever the number of keys, goes to all tasks; its words are or-ed by Spark. It spares wide rows
+    the shuffle of an exact join, which is still needed after it.
+    """
+    spark = rows.sparkSession
+    spots = lambda: F.array(*(F.pmod(F.xxhash64(F.lit(k), F.col(key)), F.lit(bits)) for k in range(3)))
+    word = keys.where(F.col(key).isNotNull()).select(F.explode(spots()).alias("at")).groupBy(F.shiftright("at", 6).alias("word"))
+    words = word.agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toArrow()  # bits / 64 rows at most
+    held = np.zeros(bits >> 6, np.uint64)
+    held[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    shared = spark.sparkContext.broadcast(held)
+
+    def probe(batches):
+        for batch in batches:
+            at = batch["__tl_spots"].flatten().to_numpy().astype(np.uint64).reshape(-1, 3)
+            hit = ((shared.value[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)).all(1)
+            yield batch.filter(pa.array(hit)).drop_columns(["__tl_spots"])
+
+    return rows.withColumn("__tl_spots", spots()).mapInArrow(probe, rows.schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
