@@ -77,10 +77,13 @@ class LineRuns:
                 self.levels[k + 1].append(merged)
 
     def _merged(self, names: list[str]) -> DataFrame:
+        """Runs merged bucket by bucket with full outer merge joins; a run has each key once."""
         rows = self.spark.table(names[0])
         for name in names[1:]:
-            rows = rows.unionByName(self.spark.table(name))
-        return rows.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("keeper").alias("keeper"))
+            more = self.spark.table(name).select("h1", "h2", F.col("n_docs").alias("more"), F.col("keeper").alias("other"))
+            rows = rows.join(more.hint("merge"), ["h1", "h2"], "full")
+            rows = rows.select("h1", "h2", (F.coalesce("n_docs", F.lit(0)) + F.coalesce("more", F.lit(0))).cast("bigint").alias("n_docs"), F.greatest("keeper", "other").alias("keeper"))
+        return rows
 
     def totals(self) -> DataFrame:
         """h1, h2, n_docs, keeper over all batches."""
@@ -98,7 +101,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
     lines = lines.withColumn("key", line_key(F.col("line"))).where(F.length("key") >= min_chars)
     keys = lines.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("line"), F.col("key")).alias("h2"), "did", "th", "pos")
     keys, _ = materialize(keys, "line-keys")
-    cuts = sorted(set(keys.stat.approxQuantile("did", [i / batches for i in range(1, batches)], 0.01)))
+    shares = [i / batches for i in range(1, batches)]
+    cuts = sorted(set(keys.agg(F.percentile_approx("did", shares)).first()[0] or [])) if shares else []
     edges = [NO_ID, *(int(c) for c in cuts), None]
     runs = LineRuns(spark, fanout=fanout)
     for low, high in reversed(list(zip(edges, edges[1:]))):
