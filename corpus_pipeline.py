@@ -18,27 +18,44 @@ from termloom.llm import bpe, jaccard, lines, mixing, toxicity
 from termloom.llm.shared import materialize, table
 
 
+REST = "__tl_rest"
+
+
+def packed(docs: DataFrame, *own: str) -> DataFrame:
+    """The columns that a stage works on, and all others in one, so that no name of theirs can clash."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in own]
+    return docs.select(*own, (F.struct(*rest) if rest else F.lit(None).cast("string")).alias(REST))
+
+
+def unpacked(rows: DataFrame, docs: DataFrame, *own: str) -> DataFrame:
+    return rows.select(*(F.col(c) if c in own else F.col(REST).getField(c).alias(c) for c in docs.columns))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    own = ("doc_id", "text", "lang")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    columns = docs.columns
-    return toxicity.score_documents(docs, model, keep=tuple(c for c in columns if c != "doc_id")).where(~F.col("rejected")).select(*columns)
+    scored = toxicity.score_documents(packed(docs, *own), model, keep=("text", "lang", REST))
+    return unpacked(scored.where(~F.col("rejected")), docs, *own)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = lines.dedup_lines(docs)
-    return cut.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("bigint")).select(*docs.columns)
+    own = ("doc_id", "text", "n_chars")
+    cut = lines.dedup_lines(packed(docs, *own))
+    return unpacked(cut.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("bigint")), docs, *own)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows without a doc_id can't be told apart and stay."""
     groups = jaccard.similar_documents(docs)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__tl_kept")).distinct()
+    kept = groups.where("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("__tl_kept")).distinct()
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__tl_kept")), "left_semi")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    columns = docs.columns
-    plan = mixing.plan_mix(docs, whole_documents=True, keep=tuple(c for c in columns if c not in ("doc_id", "source")))
-    return plan.withColumn("__tl_piece", F.explode("pieces")).where(F.col("__tl_piece.shard") >= 0).select(*columns)
+    own = ("doc_id", "source", "text")
+    plan = mixing.plan_mix(packed(docs, *own), whole_documents=True, keep=("text", REST))
+    taken = plan.withColumn("__tl_piece", F.explode("pieces")).where(F.col("__tl_piece.shard") >= 0)
+    return unpacked(taken, docs, *own)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

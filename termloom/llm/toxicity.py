@@ -235,7 +235,10 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, sample_char
 
 
 def score_documents(docs: DataFrame, model: Classifier | float, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, `keep`, score, and rejected: whether the score reaches its language's threshold. lang picks the threshold alone."""
+    """doc_id, `keep`, score, and rejected: whether the score reaches its language's threshold. lang picks the threshold alone.
+
+    keep mustn't name a column score or rejected.
+    """
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     schema = f"doc_id {kinds['doc_id']}, " + "".join(f"`{k}` {kinds[k]}, " for k in keep) + "score double, rejected boolean"
     held = docs.sparkSession.sparkContext.broadcast(model)

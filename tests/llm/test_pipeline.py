@@ -89,3 +89,31 @@ def test_bpe(tables):
 
 def test_run_repeats(spark, tables):
     assert sorted(str(r.asDict()) for r in corpus_pipeline.run(spark, SF).collect()) == sorted(map(str, tables[5]["rows"]))
+
+
+def odd_documents(spark):
+    text = "some words that make a line of good length\nand a second line that only few have "
+    rows = [(k, f"{text}{k} " * 3, "en", f"s{k % 3}", 9) for k in range(30)]
+    rows += [(31, None, None, None, None), (32, "", "en", None, 0), (33, rows[3][1], "en", "s0", 9), (3, rows[3][1], "en", "s0", 9), (None, rows[4][1], "en", "s1", 9), (None, "alone without an id", None, "s1", 9), (34, "long " * 80_000, "xx", "s2", 1)]
+    names = "doc_id long, text string, lang string, source string, n_chars long"
+    extra = "score double, rejected boolean, n_lines int, h1 string, size int, `a.b` string, pieces string, component_id long"
+    return spark.createDataFrame([(*r, 0.5, True, 1, "h", 2, "dot", "p", 7) for r in rows], f"{names}, {extra}")
+
+
+def test_odd_rows_and_clashing_columns(spark):
+    docs = odd_documents(spark)
+    for name, stage in corpus_pipeline.STAGES:
+        before = docs
+        docs, _ = materialize(stage(spark, docs, SF), f"odd-{name}")
+        if name != "bpe":
+            assert docs.schema.names == before.schema.names
+            left = docs.select("score", "rejected", "n_lines", "h1", "size", "`a.b`", "pieces", "component_id").distinct().collect()
+            assert [tuple(r) for r in left] == [(0.5, True, 1, "h", 2, "dot", "p", 7)]
+        assert docs.count() > 0
+
+
+def test_empty_table(spark):
+    docs = odd_documents(spark).where("false")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF)
+        assert docs.count() == 0
