@@ -245,7 +245,7 @@ def similar_documents(docs: DataFrame, width: int = 4, percent: int = 85, block_
                     sigs.append(x)
                     of.append(np.full(len(x), node))
                     total += len(x)
-                if total > 1 << 21:
+                if total > 1 << 20:
                     yield from flush()
                     sigs, of, total = [], [], 0
         if sigs:
@@ -262,7 +262,7 @@ def similar_documents(docs: DataFrame, width: int = 4, percent: int = 85, block_
     placed = units(members, percent, block_shingles, block_docs)
 
     def gather(batches):
-        for batch in batches:
+        for batch in (b.slice(k, 500) for b in batches for k in range(0, b.num_rows, 500)):
             sets = [shingles(word_hashes((t.as_py() or "").encode("utf-8", "surrogatepass")), width) for t in batch["text"]]
             yield pa.RecordBatch.from_arrays(
                 [batch["node"], batch["component"], batch["sub"], batch["units"], pa.array([set_hash(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],

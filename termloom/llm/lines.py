@@ -8,7 +8,8 @@ level 0. When a level has `fanout` runs they are compacted into one run of the n
 and compaction don't shuffle the runs again.
 
 Defined results: null or empty text is one empty line; null doc_ids come before all others and rows of one doc_id count as one
-document; repeated rows all get the same decision; an empty table gives an empty result; a key is judged by its hash, and two
+document; repeated rows all get the same decision; an empty table gives an empty result; other columns stay, but for those named n_lines
+and n_dropped; a key is judged by its hash, and two
 different keys share both 64-bit hashes with a chance of about n * n / 2^129.
 """
 
@@ -89,6 +90,12 @@ class LineRuns:
         """h1, h2, n_docs, keeper over all batches."""
         return self._merged(self._live())
 
+    def close(self) -> None:
+        """Drop the runs' tables."""
+        for name in self._live():
+            self.spark.sql(f"DROP TABLE {name}")
+        self.levels = []
+
 
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 4, fanout: int = 2) -> DataFrame:
     """docs with text cut to the lines that stay, n_lines (before) and n_dropped.
@@ -107,7 +114,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
     runs = LineRuns(spark, fanout=fanout)
     for low, high in reversed(list(zip(edges, edges[1:]))):
         runs.add(keys.where((F.col("did") >= low) & (F.lit(True) if high is None else F.col("did") < high)))
-    common = runs.totals().where(F.col("n_docs") >= min_docs).select("h1", "h2", "keeper")
+    common, _ = materialize(runs.totals().where(F.col("n_docs") >= min_docs).select("h1", "h2", "keeper"), "line-common")
+    runs.close()
     cut = keys.join(common, ["h1", "h2"]).where(F.col("did") != F.col("keeper"))
     cut = cut.groupBy("did", "th").agg(F.collect_set("pos").alias("__tl_cut")).select(F.col("did").alias("__tl_did"), F.col("th").alias("__tl_th"), "__tl_cut")
     marked = docs.withColumns({"__tl_k": did, "__tl_t": th}).join(cut, (F.col("__tl_k") == F.col("__tl_did")) & (F.col("__tl_t") == F.col("__tl_th")), "left")

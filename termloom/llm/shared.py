@@ -51,7 +51,7 @@ def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def maybe_in(rows: DataFrame, key: str, keys: DataFrame, bits: int = 1 << 25) -> DataFrame:
+def maybe_in(rows: DataFrame, key: str, keys: DataFrame, bits: int = 1 << 23) -> DataFrame:
     """The rows whose key may be among the keys (same column name): all that are, and few others while keys are under bits / 10.
 
     A Bloom filter of fixed size, whatever the number of keys, goes to all tasks; its words are or-ed by Spark. It spares wide rows
