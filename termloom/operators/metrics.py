@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Coefficients of a published Chebyshev fit to erfc, from the lowest power of t.
+ERFC = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
+
 
 def per_query(run: DataFrame, qrels: DataFrame, k: int = 10, by: tuple[str, ...] = (), distinct_qrels: bool = False) -> DataFrame:
     """qid, rr, ndcg (and `by`) of every query that has results and relevant documents.
@@ -64,10 +67,8 @@ def normal_tail(z: Column) -> Column:
     """Two-sided p of a normal score, as erfc(|z| / sqrt 2) by a continued series that is exact to about 1e-7."""
     x = F.abs(z) / math.sqrt(2)
     t = 1 / (1 + 0.5 * x)
-    # Coefficients of the Chebyshev fit to erfc in Numerical Recipes
-    fit = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
-    poly = F.lit(fit[-1])
-    for c in reversed(fit[:-1]):
+    poly = F.lit(ERFC[-1])
+    for c in reversed(ERFC[:-1]):
         poly = poly * t + c
     return t * F.exp(-x * x + poly)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from termloom.functions.text import MODEL_STOP, PATTERNS, STOP
+from termloom.operators.metrics import ERFC
 from termloom.plans.queries import ALPHAS, BASELINE, BETAS, FEEDBACK, N_TEST, QUERIES_PER_DOC
 
 ALPHANUM, SYMBOL = (PATTERNS[m].replace("\\-", "-") for m in ("alphanum", "symbol"))
@@ -181,15 +182,30 @@ def walk(rounds: int) -> str:
 
 VARIANT_RUN = (POST, TOPICS, CLICKS, SPLIT, EDGES, CG, scaled("scaled", "cg", 10.0), alphas("index_cg"), REWEIGHTED, bm25("run", "terms", "reweighted", 10, "variant"))
 
-SIGNED = f"""d AS (SELECT v.variant, v.qid, round(b.ndcg - v.ndcg, 12) AS d FROM each v JOIN each b ON v.qid = b.qid AND b.variant = '{BASELINE}' WHERE v.variant <> '{BASELINE}'),
-shared AS (SELECT variant, count(*) AS n_queries FROM d GROUP BY variant HAVING count(*) >= 10),
-r AS (SELECT *, count(*) OVER (PARTITION BY variant, abs(d)) AS ties, rank() OVER (PARTITION BY variant ORDER BY abs(d)) AS low FROM d WHERE d <> 0),
-u AS (
+def signed(value: str, x: str = "") -> str:
+    """Signed ranks of one metric; x keeps the names of two of them apart."""
+    return f"""d{x} AS (SELECT v.variant, v.qid, round(b.{value} - v.{value}, 12) AS d FROM each v JOIN each b ON v.qid = b.qid AND b.variant = '{BASELINE}' WHERE v.variant <> '{BASELINE}'),
+shared{x} AS (SELECT variant, count(*) AS n_queries FROM d{x} GROUP BY variant HAVING count(*) >= 10),
+r{x} AS (SELECT *, count(*) OVER (PARTITION BY variant, abs(d)) AS ties, rank() OVER (PARTITION BY variant ORDER BY abs(d)) AS low FROM d{x} WHERE d <> 0),
+u{x} AS (
   SELECT variant, count(*) AS n, sum(CASE WHEN d > 0 THEN low + (ties - 1) / 2.0::DOUBLE ELSE 0::DOUBLE END) AS plus, sum(CASE WHEN d < 0 THEN low + (ties - 1) / 2.0::DOUBLE ELSE 0::DOUBLE END) AS minus,
-         sum(ties * ties - 1)::DOUBLE AS tied FROM r GROUP BY variant
+         sum(ties * ties - 1)::DOUBLE AS tied FROM r{x} GROUP BY variant
+),
+z{x} AS (
+  SELECT s.variant, s.n_queries, coalesce(u.n, 0) AS n, least(plus, minus) AS w,
+         (least(plus, minus) - u.n * (u.n + 1) / 4::DOUBLE) / nullif(sqrt(u.n::DOUBLE * (u.n + 1) * (2 * u.n + 1) / 24 - tied / 48), 0) AS z
+  FROM shared{x} s LEFT JOIN u{x} u ON s.variant = u.variant
 )"""
 
 
+def tail(z: str) -> str:
+    t = f"(1::DOUBLE / (1::DOUBLE + 0.5::DOUBLE * abs({z}) / sqrt(2::DOUBLE)))"
+    poly = f"{ERFC[-1]}::DOUBLE"
+    for c in reversed(ERFC[:-1]):
+        poly = f"({poly} * {t} + ({c})::DOUBLE)"
+    return f"round({t} * exp(-{z} * {z} / 2::DOUBLE + {poly}), 6)"
+
+
 def combined() -> str:
     rows = [f"('index_combined_alphanum_maxvalrlm10_maxvalcg5_a{name_of(a)}_b{name_of(b)}', {a}::FLOAT, {b}::FLOAT)" for a in (0.0, 0.5, 1.0) for b in BETAS if a + b <= 1 + 1e-6]
     return "variants(variant, alpha, beta) AS (VALUES " + ", ".join(rows) + ")"
@@ -256,8 +272,9 @@ SELECT docid, term, round(v / sum(v) OVER (PARTITION BY docid), 8) AS probabilit
 FROM post p LEFT JOIN rs r ON p.docid = r.docid AND p.term = r.term LEFT JOIN cs c ON p.docid = c.docid AND p.term = c.term CROSS JOIN variants v""",
         "reweighted_bm25": ctes(*VARIANT_RUN) + "SELECT variant, qid, docid, round(score, 6) AS score, rank FROM run",
         "variant_summary": ctes(*VARIANT_RUN, QRELS, per_query("each", "run", "variant")) + summary("run"),
-        "wilcoxon_w_z": ctes(*VARIANT_RUN, QRELS, per_query("each", "run", "variant"), SIGNED) + """SELECT s.variant, s.n_queries, coalesce(u.n, 0) AS n, round(least(plus, minus), 6) AS w,
-  round((least(plus, minus) - u.n * (u.n + 1) / 4::DOUBLE) / nullif(sqrt(u.n::DOUBLE * (u.n + 1) * (2 * u.n + 1) / 24 - tied / 48), 0), 6) AS z FROM shared s LEFT JOIN u ON s.variant = u.variant""",
+        "wilcoxon_w_z": ctes(*VARIANT_RUN, QRELS, per_query("each", "run", "variant"), signed("ndcg")) + "SELECT variant, n_queries, n, round(w, 6) AS w, round(z, 6) AS z FROM z",
+        "significance": ctes(*VARIANT_RUN, QRELS, per_query("each", "run", "variant"), signed("rr", "1"), signed("ndcg", "2")) + f"""SELECT variant, n_queries, p_mrr, p_ndcg, p_mrr < a AS sig_mrr, p_ndcg < a AS sig_ndcg
+FROM (SELECT z1.variant, z1.n_queries, {tail('z1.z')} AS p_mrr, {tail('z2.z')} AS p_ndcg, 0.05::DOUBLE / (SELECT count(DISTINCT variant) - 1 FROM each) AS a FROM z1 JOIN z2 ON z1.variant = z2.variant)""",
         "reweight_constant": ctes(POST) + "SELECT docid, term, 1 AS tf FROM post",
         "reweight_random": ctes(POST) + f"SELECT docid, term, ({debug} % 3)::INT + 1 AS tf FROM post",
         "reweight_weighted_random": ctes(POST) + f"SELECT docid, term, greatest(1, round(round(tf * (0.5::DOUBLE + {debug} / 1e6::DOUBLE), 9))::INT) AS tf FROM post",
