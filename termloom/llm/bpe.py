@@ -22,9 +22,9 @@ from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from termloom.llm.shared import table
+from termloom.llm.shared import lean, table
 
 #: Letters of ASCII and Latin-1, which are composed already and lower to one letter each.
 WORDS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
@@ -143,8 +143,8 @@ class Encoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.leaf, self.kept, self.path = leaf, kept, path
-        self.specials = [t["content"] for t in json.load(open(path, encoding="utf-8"))["added_tokens"]]
-        self.special = re.compile("|".join(map(re.escape, self.specials)))
+        specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, specials)) if specials else "(?!)")
         self._merger: Merger | None = None
         self.pieces: dict[str, tuple[str, str]] = {}
 
@@ -226,9 +226,10 @@ def encode_documents(docs: DataFrame, path: str | None = None, digest: bool = Fa
     This vocabulary has no decoder, so the library's decoding is the tokens joined by a space; tests hold that against it.
     """
     at = path or vocabulary_path()
-    kinds = {f.name: f for f in docs.schema}
-    what = "ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>, decoded string"
-    schema = f"doc_id {kinds['doc_id'].dataType.simpleString()}, " + "".join(f"`{k}` {kinds[k].dataType.simpleString()}, " for k in keep) + "n_tokens bigint, " + what
+    what = (("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())) if digest else (("ids", T.ArrayType(T.IntegerType())), ("decoded", T.StringType()))
+    schema = T.StructType([docs.schema[c] for c in ("doc_id", *keep)]).add("n_tokens", T.LongType())
+    for name, kind in what:
+        schema = schema.add(name, kind)
 
     def run(batches):
         own = encoder(at)
@@ -247,7 +248,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, digest: bool = Fa
             kind = pa.string() if digest else pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays([batch["doc_id"], *(batch[k] for k in keep), pa.array(n, pa.int64()), pa.array(ids, kind), pa.array(decoded, pa.string())], names)
 
-    return docs.select("doc_id", "text", *keep).mapInArrow(run, schema)
+    return docs.select("doc_id", "text", *keep).mapInArrow(lean(run), schema)
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from termloom.llm.graph import components
 from termloom.llm.groups import map_groups
-from termloom.llm.shared import materialize, table
+from termloom.llm.shared import lean, materialize, table
 
 
 def plan_tables(classes: int, threshold: float, miss: float, in_bucket: int = 64) -> tuple[int, int]:
@@ -116,7 +116,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, miss: float = 1
                 ["id", "m", "kind", "vector", "codes", "each"],
             )
 
-    coded = classes.select("id", "m", "kind", "v").mapInArrow(code, "id bigint, m bigint, kind bigint, vector binary, codes binary, each array<bigint>")
+    coded = classes.select("id", "m", "kind", "v").mapInArrow(lean(code, 4096), "id bigint, m bigint, kind bigint, vector binary, codes binary, each array<bigint>")
     coded, _ = materialize(coded, "codes")
     light = coded.select("id", "kind", F.posexplode("each").alias("t", "code")).select("id", "t", F.xxhash64("kind", "code").alias("bucket"))
     full = light.groupBy("t", "bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")

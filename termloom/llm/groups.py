@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from termloom.llm.shared import lean
+
 
 def streamed(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Tables of whole groups; batches come sorted by the keys (whole numbers), and a group may span batches."""
@@ -48,4 +50,4 @@ def map_groups(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], dict | N
         if out:
             yield from pa.Table.from_batches(out).combine_chunks().to_batches()
 
-    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lean(run, None), schema)

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from termloom.llm.shared import scratch, table
+from termloom.llm.shared import lean, scratch, table
 
 WIDTH, UNIT = 64, 192
 LISTING = "path string, bytes bigint, members bigint"
@@ -101,7 +101,7 @@ def store_texts(docs: DataFrame, archive_bytes: int = 32 << 20, level: int = 3)
         if held:
             yield flush()
 
-    docs.select("doc_id", "text").mapInArrow(write, LISTING).write.parquet(f"{folder}/list")
+    docs.select("doc_id", "text").mapInArrow(lean(write), LISTING).write.parquet(f"{folder}/list")
     return folder
 
 
@@ -223,7 +223,7 @@ def media_features(members: DataFrame) -> DataFrame:
             names = [f.split()[0] for f in FEATURES.split(", ")]
             yield pa.RecordBatch.from_pylist(rows, pa.schema([(k, pa.string() if k in ("payload_sha256", "media_sha256", "feature") else pa.int64()) for k in names]))
 
-    return members.select("name", "media").mapInArrow(run, FEATURES)
+    return members.select("name", "media").mapInArrow(lean(run), FEATURES)
 
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -140,6 +140,8 @@ def plan_mix(
     The mixture has share[0] / share[1] times all words. whole_documents: a document belongs to the block of its first word and
     is taken whole or not at all, so a source's words differ from its target by a block's overhang.
     """
+    # a key that is never null: null-safe joins would deal the rows anew
+    key_of = F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), F.col("source")))
     hashed = uniform(F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     sizes, _ = materialize(document_sizes(docs).withColumn("h", hashed), "mix-sizes")
     count, words = sizes.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
@@ -159,16 +161,15 @@ def plan_mix(
     sources = sources.alias("s").join(bounds.alias("t"), F.col("s.source").eqNullSafe(F.col("t.source"))).select("s.*", "t.bounds")
 
     bucket = F.shiftright("h", 60 - bits) if bits else F.lit(0).cast("bigint")
-    sums = sizes.withColumn("bucket", bucket).groupBy("source", "bucket").agg(F.sum("size").alias("in_bucket"))
-    before = F.sum("in_bucket").over(W.partitionBy("source").orderBy("bucket")) - F.col("in_bucket")
-    offsets = sums.select(F.col("source").alias("o_source"), F.col("bucket").alias("o_bucket"), before.alias("offset"))
-    inside = F.sum("size").over(W.partitionBy("source", "bucket").orderBy("h", "doc_id").rowsBetween(W.unboundedPreceding, 0)) - F.col("size")
+    sums = sizes.select(key_of.alias("key"), bucket.alias("bucket"), "size").groupBy("key", "bucket").agg(F.sum("size").alias("in_bucket"))
+    before = F.sum("in_bucket").over(W.partitionBy("key").orderBy("bucket")) - F.col("in_bucket")
+    offsets = sums.select("key", "bucket", before.alias("offset"))
+    inside = F.sum("size").over(W.partitionBy("key", "bucket").orderBy("h", "doc_id").rowsBetween(W.unboundedPreceding, 0)) - F.col("size")
     rows = document_sizes(docs, keep).withColumn("h", hashed) if keep else sizes
-    placed = rows.withColumn("bucket", bucket).withColumn("inside", inside)
-    placed = placed.join(offsets, F.col("source").eqNullSafe(F.col("o_source")) & (F.col("bucket") == F.col("o_bucket")))
-    placed = placed.withColumn("at", F.col("offset") + F.col("inside")).drop("o_source", "o_bucket", "offset", "inside", "bucket", "h")
-    sources = sources.withColumnRenamed("source", "t_source")
-    placed = placed.join(sources, F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source")
+    placed = rows.withColumns({"key": key_of, "bucket": bucket}).withColumn("inside", inside)
+    placed = placed.join(offsets, ["key", "bucket"])
+    placed = placed.withColumn("at", F.col("offset") + F.col("inside")).drop("offset", "inside", "bucket", "h")
+    placed = placed.join(sources.withColumn("key", key_of).drop("source"), "key").drop("key")
 
     first, last = F.floor(F.col("at") / b), F.floor((F.col("at") + F.col("size") - 1) / b)
     shard_of = lambda x: F.coalesce(F.array_position(F.transform("bounds", lambda e: e > x), True).cast("int") - 1, F.lit(-1))

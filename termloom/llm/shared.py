@@ -6,6 +6,9 @@ spark.checkpoint.dir, so a lost executor costs a re-read and not a re-computatio
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -51,6 +54,22 @@ def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def lean(fn, rows: int | None = 512):
+    """fn over Arrow batches for mapInArrow, fed in slices of a few rows, so that few texts are Python objects at a time; when a task
+    ends, memory goes back to the system, since idle workers live on beside the executor."""
+
+    def run(batches):
+        try:
+            yield from fn((b.slice(k, rows) for b in batches for k in range(0, b.num_rows, rows)) if rows else batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(AttributeError, OSError):  # not every C library has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def maybe_in(rows: DataFrame, key: str, keys: DataFrame, bits: int = 1 << 23) -> DataFrame:
     """The rows whose key may be among the keys (same column name): all that are, and few others while keys are under bits / 10.
 
@@ -71,7 +90,7 @@ def maybe_in(rows: DataFrame, key: str, keys: DataFrame, bits: int = 1 << 23) ->
             hit = ((shared.value[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)).all(1)
             yield batch.filter(pa.array(hit)).drop_columns(["__tl_spots"])
 
-    return rows.withColumn("__tl_spots", spots()).mapInArrow(probe, rows.schema)
+    return rows.withColumn("__tl_spots", spots()).mapInArrow(lean(probe), rows.schema)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

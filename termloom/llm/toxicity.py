@@ -25,8 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from termloom.llm.shared import table
+from termloom.llm.shared import lean, table
 
 WORDS = re.compile(r"\w+")
 FOLDS, HELD_OUT, CALIBRATION = 4, 2, 3
@@ -239,8 +240,7 @@ def score_documents(docs: DataFrame, model: Classifier | float, keep: tuple[str,
 
     keep mustn't name a column score or rejected.
     """
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    schema = f"doc_id {kinds['doc_id']}, " + "".join(f"`{k}` {kinds[k]}, " for k in keep) + "score double, rejected boolean"
+    schema = T.StructType([docs.schema[c] for c in ("doc_id", *keep)]).add("score", T.DoubleType()).add("rejected", T.BooleanType())
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -255,7 +255,7 @@ def score_documents(docs: DataFrame, model: Classifier | float, keep: tuple[str,
             yield pa.RecordBatch.from_arrays([batch["doc_id"], *(batch[k] for k in keep), pa.array(score), pa.array(score >= limit)], ["doc_id", *keep, "score", "rejected"])
 
     need = list(dict.fromkeys(["doc_id", "text", "lang", *keep]))
-    return docs.select(*need).mapInArrow(run, schema)
+    return docs.select(*need).mapInArrow(lean(run), schema)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
