@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from termloom.llm.graph import components
 from termloom.llm.groups import map_groups
 from termloom.llm.hashing import MASK, U, mix, shingles, word_hashes
-from termloom.llm.shared import materialize, maybe_in, table
+from termloom.llm.shared import lean, materialize, maybe_in, table
 
 
 def set_hash(s: np.ndarray) -> int:
@@ -211,7 +211,7 @@ def similar_documents(docs: DataFrame, width: int = 4, percent: int = 85, block_
             sets = [shingles(word_hashes((t.as_py() or "").encode("utf-8", "surrogatepass")), width) for t in batch["text"]]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array([set_hash(s) for s in sets], pa.int64())], ["doc_id", "n", "node"])
 
-    shapes, _ = materialize(rows.mapInArrow(shape, "doc_id bigint, n bigint, node bigint"), "shapes")
+    shapes, _ = materialize(rows.mapInArrow(lean(shape), "doc_id bigint, n bigint, node bigint"), "shapes")
 
     def sign(batches):
         classes = SizeClasses(percent)
@@ -251,7 +251,7 @@ def similar_documents(docs: DataFrame, width: int = 4, percent: int = 85, block_
         if sigs:
             yield from flush()
 
-    buckets = rows.select("text").mapInArrow(sign, "sig bigint, node bigint, other bigint")
+    buckets = rows.select("text").mapInArrow(lean(sign), "sig bigint, node bigint, other bigint")
     chained = buckets.withColumn("before", F.lag("node").over(W.partitionBy("sig", F.col("other").isNull()).orderBy("node")))
     edges = chained.select("node", F.when(F.col("other").isNull(), F.col("before")).otherwise(F.col("other")).alias("other")).where("node <> other")
     clusters = components(edges, "node", "other")
@@ -262,7 +262,7 @@ def similar_documents(docs: DataFrame, width: int = 4, percent: int = 85, block_
     placed = units(members, percent, block_shingles, block_docs)
 
     def gather(batches):
-        for batch in (b.slice(k, 500) for b in batches for k in range(0, b.num_rows, 500)):
+        for batch in batches:
             sets = [shingles(word_hashes((t.as_py() or "").encode("utf-8", "surrogatepass")), width) for t in batch["text"]]
             yield pa.RecordBatch.from_arrays(
                 [batch["node"], batch["component"], batch["sub"], batch["units"], pa.array([set_hash(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
@@ -273,9 +273,9 @@ def similar_documents(docs: DataFrame, width: int = 4, percent: int = 85, block_
     texts = likely.join(placed.withColumnRenamed("first", "doc_id"), "doc_id").drop("doc_id")
     unnamed = placed.where("first is null").drop("first")
     if unnamed.limit(1).count():  # sets that only rows without an id have
-        nodes = rows.where("doc_id is null").select("text").mapInArrow(lambda it: _nodes(it, width), "text string, node bigint").dropDuplicates(["node"])
+        nodes = rows.where("doc_id is null").select("text").mapInArrow(lean(lambda it: _nodes(it, width)), "text string, node bigint").dropDuplicates(["node"])
         texts = texts.unionByName(nodes.join(unnamed, "node").select(texts.columns))
-    held = texts.select("text", "node", "component", "sub", "units").mapInArrow(gather, "node bigint, component bigint, sub int, units array<struct<bi int, bj int>>, own bigint, shingles binary")
+    held = texts.select("text", "node", "component", "sub", "units").mapInArrow(lean(gather), "node bigint, component bigint, sub int, units array<struct<bi int, bj int>>, own bigint, shingles binary")
     # rows that share a doc_id may hold other texts than the one that was placed
     held = held.where("own = node").select("node", "component", "sub", "shingles", F.explode("units").alias("u")).select("node", "component", "sub", "shingles", "u.bi", "u.bj")
     links = map_groups(held, ["component", "bi", "bj"], lambda g: verified(g, percent), "a bigint, b bigint", pa.schema([("a", pa.int64()), ("b", pa.int64())]))
@@ -288,3 +288,21 @@ def similar_documents(docs: DataFrame, width: int = 4, percent: int = 85, block_
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(table(spark, sf_dir, "documents"))
+
+
+OP10_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3]) END) AS x FROM w
+), n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+b AS (SELECT a.doc_id AS d1, b.doc_id AS d2, count(*) AS both_n FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS MATERIALIZED (
+  SELECT d1, d2 FROM b JOIN n x ON x.doc_id = d1 JOIN n y ON y.doc_id = d2 WHERE 100 * both_n >= 85 * (x.n + y.n - both_n)
+), e AS MATERIALIZED (SELECT d1 AS a, d2 AS b FROM links UNION ALL SELECT d2, d1 FROM links),
+walk(doc_id, reach) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT walk.doc_id, e.b FROM walk JOIN e ON walk.reach = e.a
+)
+SELECT walk.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(reach) AS component_id FROM walk LEFT JOIN n ON n.doc_id = walk.doc_id GROUP BY walk.doc_id
+"""

@@ -24,6 +24,9 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_embedding_dedup": embeddings.OP1_SQL,
         "op2_source_mix": mixing.OP2_SQL,
+        "op3_warc": warc.OP3_SQL,
         "op5_line_dedup": lines.OP5_SQL,
+        "op6_suffix_dedup": substrings.OP6_SQL,
         "op8_quote_links": quotes.OP8_SQL,
+        "op10_ngram_jaccard": jaccard.OP10_SQL,
     }

@@ -30,10 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from termloom.llm.groups import map_groups
 from termloom.llm.hashing import MASK, PLACES, U, mix, rolling
-from termloom.llm.shared import materialize, table
+from termloom.llm.shared import lean, materialize, table
 
 #: A run of windows is its first start and, in the last 24 bits, how many starts follow.
 SHIFT = 24
@@ -212,7 +213,7 @@ def find_repeats(rows: DataFrame, length: int, first: int, block: int) -> DataFr
         yield from own.flush()
 
     sorted_by = ["h", "pair", "did", "run"]
-    ranked = rows.mapInArrow(sample, ROW).repartition("h").sortWithinPartitions(*sorted_by).mapInArrow(settle, ROW)
+    ranked = rows.mapInArrow(lean(sample), ROW).repartition("h").sortWithinPartitions(*sorted_by).mapInArrow(lean(settle, None), ROW)
     ranked, _ = materialize(ranked.select("h", "did", "run", "done"), "ranked")
     open_runs = ranked.where(~F.col("done"))
     many = open_runs.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
@@ -237,7 +238,7 @@ def find_repeats(rows: DataFrame, length: int, first: int, block: int) -> DataFr
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["h", "did", "run", "bytes"])
 
     few = open_runs.join(many, "h", "left_anti")
-    contexts = texts_with(few).mapInArrow(context, "h bigint, did bigint, run bigint, bytes binary")
+    contexts = texts_with(few).mapInArrow(lean(context), "h bigint, did bigint, run bigint, bytes binary")
     inner = map_groups(contexts, ["h"], lambda g: repeats_in_rank(g, length), "did bigint, run bigint", pa.schema([("did", pa.int64()), ("run", pa.int64())]))
     found.append(materialize(inner, "repeats")[0])
 
@@ -255,8 +256,8 @@ def find_repeats(rows: DataFrame, length: int, first: int, block: int) -> DataFr
                         yield from own.add(a, b, did, at, at)
             yield from own.flush()
 
-        dealt = texts_with(open_runs.join(many, "h", "left_semi")).mapInArrow(windows, ROW)
-        dealt = dealt.repartition("h").sortWithinPartitions(*sorted_by).mapInArrow(settle, ROW).where("done").select("did", "run")
+        dealt = texts_with(open_runs.join(many, "h", "left_semi")).mapInArrow(lean(windows), ROW)
+        dealt = dealt.repartition("h").sortWithinPartitions(*sorted_by).mapInArrow(lean(settle, None), ROW).where("done").select("did", "run")
         found.append(materialize(dealt, "repeats")[0])
     runs = found[0]
     for more in found[1:]:
@@ -281,8 +282,11 @@ def remove_repeats(docs: DataFrame, length: int = 100, first: int = 32, block: i
     joined = marked.join(runs, "__tl_did", "left").drop("__tl_id", "__tl_hash", "__tl_did", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256")
     carried = [f for f in joined.schema if f.name not in ("text", "__tl_runs")]
     with_text = [] if digest else [f for f in joined.schema if f.name == "text"]
-    last = "kept_sha256 string" if digest else "kept binary"
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in [*carried, *with_text]] + ["n_bytes bigint, n_removed bigint, n_spans bigint", last])
+    last = "kept_sha256" if digest else "kept"
+    schema = T.StructType([*carried, *with_text])
+    for name in ("n_bytes", "n_removed", "n_spans"):
+        schema = schema.add(name, T.LongType())
+    schema = schema.add(last, T.StringType() if digest else T.BinaryType())
 
     def cut(batches):
         for batch in batches:
@@ -304,11 +308,28 @@ def remove_repeats(docs: DataFrame, length: int = 100, first: int = 32, block: i
             names = [f.name for f in [*carried, *with_text]]
             yield pa.RecordBatch.from_arrays(
                 [*(batch[k] for k in names), pa.array(n_bytes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.string() if digest else pa.binary())],
-                [*names, "n_bytes", "n_removed", "n_spans", last.split()[0]],
+                [*names, "n_bytes", "n_removed", "n_spans", last],
             )
 
-    return joined.mapInArrow(cut, schema)
+    return joined.mapInArrow(lean(cut), schema)
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), digest=True)
+
+
+OP6_SQL = """
+WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, strlen(coalesce(text, ''))::BIGINT AS n FROM documents),
+p AS (SELECT doc_id, unnest(range(0, n - 99)) AS p, x FROM d),
+w AS MATERIALIZED (SELECT doc_id, p, md5(substr(x, 2 * p + 1, 200)) AS h FROM p),
+again AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY h ORDER BY doc_id, p) AS nth FROM w) WHERE nth > 1),
+r AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100 THEN 0 ELSE 1 END AS new FROM again),
+g AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM r),
+runs AS MATERIALIZED (SELECT doc_id, run, min(p) AS a, max(p) + 100 AS b FROM g GROUP BY doc_id, run),
+keep AS (
+  SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS s, a AS e FROM runs
+  UNION ALL SELECT d.doc_id, coalesce(m.b, 0), d.n FROM d LEFT JOIN (SELECT doc_id, max(b) AS b FROM runs GROUP BY doc_id) m ON m.doc_id = d.doc_id
+), k AS (SELECT keep.doc_id, string_agg(substr(d.x, 2 * s + 1, 2 * (e - s)), '' ORDER BY s) AS x FROM keep JOIN d ON d.doc_id = keep.doc_id GROUP BY keep.doc_id)
+SELECT d.doc_id, d.n AS n_bytes, coalesce(t.removed, 0)::BIGINT AS n_removed, coalesce(t.spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(k.x, ''))) AS kept_sha256
+FROM d LEFT JOIN k ON k.doc_id = d.doc_id LEFT JOIN (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans FROM runs GROUP BY doc_id) t ON t.doc_id = d.doc_id
+"""

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm.shared import materialize, scratch, table
+from termloom.llm.shared import lean, materialize, scratch, table
 
 MAGIC = 0x184D2A5D
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -153,7 +153,7 @@ def write_pages(pages: DataFrame, min_bytes: int = 0, archive_bytes: int = 16 <<
         if held:
             yield flush()
 
-    return materialize(rows.mapInArrow(write, MANIFEST), "warc-list")[0]
+    return materialize(rows.mapInArrow(lean(write), MANIFEST), "warc-list")[0]
 
 
 def read_pages(archives: DataFrame, payloads: bool = True) -> DataFrame:
@@ -177,9 +177,20 @@ def read_pages(archives: DataFrame, payloads: bool = True) -> DataFrame:
                     yield pa.RecordBatch.from_pylist(rows, schema)
 
     spread = max(1, int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return archives.repartition(spread, "path").mapInArrow(read, RECORD)
+    return archives.repartition(spread, "path").mapInArrow(lean(read), RECORD)
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = write_pages(table(spark, sf_dir, "pages"))
     return read_pages(archives, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP3_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages
+)
+SELECT page_id, strlen(body) AS payload_bytes,
+       list_reduce(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, 1 + (5 * i) // 4, 2))::INT >> (3 - (5 * i) % 4)::INT) & 31), 1)), lambda a, b: a || b) AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p
+"""
