@@ -22,9 +22,10 @@ from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from termloom.llm.shared import lean, table
+from termloom.llm.shared import WORD, lean, materialize, table
 
 #: Letters of ASCII and Latin-1, which are composed already and lower to one letter each.
 WORDS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
@@ -75,62 +76,54 @@ class Merger:
                     heapq.heappush(heap, (r, x, text[x], text[y]))
         return [t for t in text if t is not None]
 
-    def concatenated(self, symbols: list[str], leaf: int, window: int = 16) -> list[str]:
+    def concatenated(self, symbols: list[str], leaf: int) -> list[str]:
         """encode() of many symbols by tree concatenation; the result is equal."""
         if len(symbols) <= leaf:
             return self.encode(symbols)
         middle = len(symbols) // 2
-        return self.join(symbols, middle, self.concatenated(symbols[:middle], leaf, window), self.concatenated(symbols[middle:], leaf, window), window)
+        return self.join(self.concatenated(symbols[:middle], leaf), self.concatenated(symbols[middle:], leaf))
 
-    def join(self, symbols: list[str], middle: int, left: list[str], right: list[str], window: int) -> list[str]:
+    def join(self, left: list[str], right: list[str], window: int = 16) -> list[str]:
+        """Tokens of two neighbours as one: a window around the join is encoded anew and grown until it shares a token with each side."""
         while True:
-            low, high = max(0, middle - window), min(len(symbols), middle + window)
-            inner = self._spans(self.encode(symbols[low:high]), low)
-            first = 0 if low == 0 else None
-            last = len(inner) if high == len(symbols) else None
-            i = j = None
-            if first is None:
-                held = {s: n for n, s in self._tail(left, middle, low)}
-                for n, span in enumerate(inner):
-                    if span in held:
-                        first, i = n, held[span]
-                        break
-            if last is None:
-                held = {s: n for n, s in self._head(right, middle, high)}
-                for n in range(len(inner) - 1, -1, -1):
-                    if inner[n] in held:
-                        last, j = n + 1, held[inner[n]]
-                        break
+            low, before, high, after = len(left), 0, 0, 0
+            while low and before < window:
+                low -= 1
+                before += self.width(left[low])
+            while high < len(right) and after < window:
+                after += self.width(right[high])
+                high += 1
+            inner = self.encode(self.symbols(left[low:] + right[:high]))
+            spans = self.spans(inner, 0)
+            mine = {x: low + k for k, x in enumerate(self.spans(left[low:], 0))}
+            theirs = {x: k for k, x in enumerate(self.spans(right[:high], before))}
+            first, i = (0, 0) if low == 0 else next(((k, mine[x]) for k, x in enumerate(spans) if x in mine), (None, None))
+            last, j = (len(inner), len(right)) if high == len(right) else next(((k + 1, theirs[spans[k]] + 1) for k in range(len(spans) - 1, -1, -1) if spans[k] in theirs), (None, None))
             if first is not None and last is not None and first < last:
-                middle_tokens = ["".join(symbols[a:b]) for a, b in inner[first:last]]
-                return (left[:i] if i is not None else []) + middle_tokens + (right[j + 1 :] if j is not None else [])
+                return left[:i] + inner[first:last] + right[j:]
             window *= 2
 
     @staticmethod
-    def _width(token: str) -> int:
-        return len(token) - 3 if token.endswith("</w>") and len(token) > 4 else len(token) if not token.endswith("</w>") else 1
+    def width(token: str) -> int:
+        """Symbols in a token; the mark of a word's end belongs to its last one."""
+        return len(token) - 4 if token.endswith("</w>") and len(token) > 4 else len(token)
 
-    def _spans(self, tokens: list[str], at: int) -> list[tuple[int, int]]:
-        out = []
+    @staticmethod
+    def symbols(tokens: list[str]) -> list[str]:
+        out: list[str] = []
         for t in tokens:
-            out.append((at, at := at + self._width(t)))
+            if t.endswith("</w>") and len(t) > 4:
+                out += t[:-4]
+                out[-1] += "</w>"
+            else:
+                out += t
         return out
 
-    def _tail(self, left: list[str], end: int, low: int) -> Iterator[tuple[int, tuple[int, int]]]:
-        for n in range(len(left) - 1, -1, -1):
-            begin = end - self._width(left[n])
-            if begin < low:
-                return
-            yield n, (begin, end)
-            end = begin
-
-    def _head(self, right: list[str], begin: int, high: int) -> Iterator[tuple[int, tuple[int, int]]]:
-        for n, t in enumerate(right):
-            end = begin + self._width(t)
-            if end > high:
-                return
-            yield n, (begin, end)
-            begin = end
+    def spans(self, tokens: list[str], at: int) -> list[tuple[int, int]]:
+        out = []
+        for t in tokens:
+            out.append((at, at := at + self.width(t)))
+        return out
 
 
 class Encoder:
@@ -170,25 +163,28 @@ class Encoder:
         e = self.library.encode(piece, add_special_tokens=False)
         return " ".join(map(str, e.ids)), " ".join(e.tokens)
 
-    def long_piece(self, piece: str) -> tuple[str, str]:
-        """Each unit of the library's own split, whose length is unbounded, by tree concatenation."""
-        ids, tokens = [], []
+    def units(self, piece: str) -> Iterator[tuple[str, bool]]:
+        """The library's own split of a piece: units, and special tokens with True."""
         at = 0
         for m in [*self.special.finditer(piece), None]:
             plain = piece[at : m.start() if m else len(piece)]
             if plain:
-                normal = self.library.normalizer.normalize_str(plain)
-                for unit, _ in self.library.pre_tokenizer.pre_tokenize_str(normal):
-                    symbols = list(unit)
-                    symbols[-1] += "</w>"
-                    got = self.merger.concatenated(symbols, self.leaf)
-                    tokens += got
-                    ids += map(self.merger.ids.__getitem__, got)
+                for unit, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(plain)):
+                    yield unit, False
             if m:
-                tokens.append(m[0])
-                ids.append(self.library.token_to_id(m[0]))
+                yield m[0], True
                 at = m.end()
-        return " ".join(map(str, ids)), " ".join(tokens)
+
+    def long_piece(self, piece: str) -> tuple[str, str]:
+        """A piece whose units may be of any length, by tree concatenation."""
+        tokens: list[str] = []
+        for unit, special in self.units(piece):
+            tokens += [unit] if special else self.merger.concatenated([*unit[:-1], unit[-1] + "</w>"], self.leaf)
+        return " ".join(map(str, self.ids(tokens))), " ".join(tokens)
+
+    def ids(self, tokens: list[str]) -> list[int]:
+        known = self.merger.ids
+        return [known[t] if t in known else self.library.token_to_id(t) for t in tokens]
 
     def encode(self, text: str | None) -> tuple[str, str]:
         """Ids and tokens of a text, each joined by one space."""
@@ -220,35 +216,102 @@ def decode(ids: list[int], path: str | None = None) -> str:
     return encoder(path or vocabulary_path()).library.decode(ids, skip_special_tokens=False)
 
 
-def encode_documents(docs: DataFrame, path: str | None = None, digest: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+def _result(doc_id, kept, tokens: list[tuple[str, str]], digest: bool, schema: T.StructType) -> pa.RecordBatch:
+    """A batch of results from ids and tokens, each joined by a space."""
+    n = pa.array([i.count(" ") + 1 if i else 0 for i, _ in tokens], pa.int64())
+    if digest:
+        what = [pa.array([hashlib.sha256(x[k].encode()).hexdigest() for x in tokens], pa.string()) for k in (0, 1)]
+    else:
+        what = [pa.array([[int(x) for x in i.split()] for i, _ in tokens], pa.list_(pa.int32())), pa.array([t for _, t in tokens], pa.string())]
+    return pa.RecordBatch.from_arrays([doc_id, *kept, n, *what], schema.names)
+
+
+def encode_documents(docs: DataFrame, path: str | None = None, digest: bool = False, keep: tuple[str, ...] = (), part: int = 1 << 16) -> DataFrame:
     """doc_id, `keep`, n_tokens, and ids (array<int>) with decoded, or with `digest` the hashes of both.
 
-    This vocabulary has no decoder, so the library's decoding is the tokens joined by a space; tests hold that against it.
+    Documents with an unsplit stretch of at least `part` characters are spread over rows, see encode_spread(). This vocabulary has no
+    decoder, so the library's decoding is the tokens joined by a space; tests hold that against it.
     """
     at = path or vocabulary_path()
     what = (("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())) if digest else (("ids", T.ArrayType(T.IntegerType())), ("decoded", T.StringType()))
     schema = T.StructType([docs.schema[c] for c in ("doc_id", *keep)]).add("n_tokens", T.LongType())
     for name, kind in what:
         schema = schema.add(name, kind)
+    rows = docs.select("doc_id", "text", *keep)
+    unsplit = F.coalesce((F.length("text") >= part) & F.col("text").rlike(f"{WORD[:-1]}{{{part}}}"), F.lit(False))
 
     def run(batches):
         own = encoder(at)
         for batch in batches:
-            n, ids, decoded = [], [], []
-            for text in batch["text"].to_pylist():
-                i, t = own.encode(text)
-                n.append(i.count(" ") + 1 if i else 0)
-                if digest:
-                    ids.append(hashlib.sha256(i.encode()).hexdigest())
-                    decoded.append(hashlib.sha256(t.encode()).hexdigest())
-                else:
-                    ids.append([int(x) for x in i.split()])
-                    decoded.append(t)
-            names = ["doc_id", *keep, "n_tokens", "ids_sha256" if digest else "ids", "decoded_sha256" if digest else "decoded"]
-            kind = pa.string() if digest else pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], *(batch[k] for k in keep), pa.array(n, pa.int64()), pa.array(ids, kind), pa.array(decoded, pa.string())], names)
-
-    return docs.select("doc_id", "text", *keep).mapInArrow(lean(run), schema)
+            yield _result(batch["doc_id"], [batch[k] for k in keep], [own.encode(t) for t in batch["text"].to_pylist()], digest, schema)
+
+    if rows.where(unsplit).limit(1).count() == 0:
+        return rows.mapInArrow(lean(run), schema)
+    return rows.where(~unsplit).mapInArrow(lean(run), schema).unionByName(encode_spread(rows.where(unsplit), at, digest, keep, part, schema))
+
+
+def encode_spread(rows: DataFrame, at: str, digest: bool, keep: tuple[str, ...], part: int, schema: T.StructType) -> DataFrame:
+    """Documents with long units: leaves of up to `part` symbols are rows of their own, encoded in parallel, and neighbours are joined
+    round by round, each round halving the leaves of a unit."""
+    rows, _ = materialize(rows.withColumn("__tl_row", F.monotonically_increasing_id()), "bpe-long")
+    fields = "row bigint, seq int, leaf int, leaves int, tokens array<string>"
+    kinds = pa.schema([("row", pa.int64()), ("seq", pa.int32()), ("leaf", pa.int32()), ("leaves", pa.int32()), ("tokens", pa.list_(pa.string()))])
+
+    def leaves(batches):
+        own = encoder(at)
+        for batch in batches:
+            for row, text in zip(batch["__tl_row"].to_pylist(), batch["text"].to_pylist()):
+                out, done = [], []
+                for piece in own.cut(text):
+                    for unit, special in own.units(piece):
+                        if special or len(unit) <= part:
+                            done += [unit] if special else own.merger.encode([*unit[:-1], unit[-1] + "</w>"])
+                            continue
+                        out += [(0, 1, done)] if done else []
+                        done = []
+                        cuts = range(0, len(unit), part)
+                        out += [(k, -len(cuts), [unit[c : c + part]]) for k, c in enumerate(cuts)]  # still to be encoded
+                out += [(0, 1, done)] if done else []
+                seq = -1
+                for leaf, n, tokens in out:
+                    seq += leaf == 0
+                    yield pa.RecordBatch.from_pylist([{"row": row, "seq": seq, "leaf": leaf, "leaves": n, "tokens": tokens}], kinds)
+
+    def encode(batches):
+        own = encoder(at)
+        for batch in batches:
+            got = batch.to_pylist()
+            for r in got:
+                if r["leaves"] < 0:
+                    r["leaves"] = -r["leaves"]
+                    text = r["tokens"][0]
+                    r["tokens"] = own.merger.encode([*text[:-1], text[-1] + "</w>"] if r["leaf"] == r["leaves"] - 1 else list(text))
+            yield pa.RecordBatch.from_pylist(got, kinds)
+
+    def joined(batches):
+        own = encoder(at)
+        for batch in batches:
+            got = batch.to_pylist()
+            for r in got:
+                pair = r.pop("pair")
+                r["tokens"] = own.merger.join(pair[0]["tokens"], pair[1]["tokens"]) if len(pair) == 2 else pair[0]["tokens"]
+            yield pa.RecordBatch.from_pylist(got, kinds)
+
+    parts = rows.select("__tl_row", "text").mapInArrow(lean(leaves, 1), fields).repartition("row", "seq", "leaf").mapInArrow(lean(encode, 1), fields)
+    parts, _ = materialize(parts, "bpe-leaves")
+    while (parts.agg(F.max("leaves")).first()[0] or 1) > 1:
+        half = F.shiftright("leaf", 1).alias("leaf")
+        pairs = parts.groupBy("row", "seq", half, F.shiftright(F.col("leaves") + 1, 1).alias("leaves")).agg(F.array_sort(F.collect_list(F.struct(F.col("leaf").alias("k"), "tokens"))).alias("pair"))
+        parts, _ = materialize(pairs.mapInArrow(lean(joined, 1), fields), "bpe-leaves")
+
+    def finish(batches):
+        own = encoder(at)
+        for batch in batches:
+            tokens = [[t for x in (parts or []) for t in x["tokens"]] for parts in batch["__tl_parts"].to_pylist()]
+            yield _result(batch["doc_id"], [batch[k] for k in keep], [(" ".join(map(str, own.ids(t))), " ".join(t)) for t in tokens], digest, schema)
+
+    whole = parts.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("seq", "tokens"))).alias("__tl_parts"))
+    return rows.drop("text").join(whole.withColumnRenamed("row", "__tl_row"), "__tl_row", "left").drop("__tl_row").mapInArrow(lean(finish, 1), schema)
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

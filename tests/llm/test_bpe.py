@@ -51,3 +51,18 @@ def test_documents(spark):
         assert got[i].decoded_sha256 == hashlib.sha256(decoded.encode()).hexdigest()
         assert " ".join(map(str, plain[i].ids)) == ids and plain[i].decoded == decoded == bpe.decode(plain[i].ids)
     assert bpe.encode_documents(docs.where(F.lit(False)), digest=True).count() == 0
+
+
+def test_spread_documents(spark):
+    rng = random.Random(8)
+    long = "".join(rng.choice("abcdefth") for _ in range(3000))
+    texts = ["short one", f"Some words {long}, and {long[:700]}!!! more", long * 3, f"<|endoftext|>{long}<|endoftext|> é{long[:301]}", "'s" * 900, "x" * 299, "x" * 300, None, f"{long}\n{long}", "é̸" * 800]
+    docs = spark.createDataFrame([(i, t, f"s{i}") for i, t in enumerate([*texts, texts[2]])], "doc_id long, text string, source string")
+    got = sorted((r.doc_id, r.source, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.encode_documents(docs, digest=True, keep=("source",), part=300).collect())
+    own, want = bpe.Encoder(PATH), []
+    for i, t in enumerate([*texts, texts[2]]):
+        ids, decoded = whole(own, t or "")
+        want.append((i, f"s{i}", len(ids.split()), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
+    assert got == want
+    plain = {r.doc_id: r for r in bpe.encode_documents(docs, part=300).collect()}
+    assert all(" ".join(map(str, plain[i].ids)) == whole(own, t or "")[0] for i, t in enumerate(texts))
