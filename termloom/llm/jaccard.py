@@ -9,13 +9,14 @@ A document is the set of its distinct word shingles; documents with equal sets a
    rows of a bucket before the shuffle; sets of a bucket are chained, and components of the chains are the candidate clusters.
 2. Inside a cluster the group counts of each set are a point, and points go into an R-tree. The sum of coordinate minima of a
    point and a node's upper corner bounds the overlap with every set below it; nodes and points whose bound can't reach the
-   threshold are left out, and survivors that aren't connected yet are verified by intersecting the shingles. Clusters with many shingles
+   threshold are left out, and all survivors are verified by intersecting the shingles. Clusters with many shingles
    are cut into blocks by set size, then by a hash, and each pair of blocks whose sizes allow a link is a unit of its own.
-3. Components of the verified links.
+3. Components of the verified links, and sums of the link counts of the units; a set counts for each of its rows.
 
-Only edges of forests leave a task, so rows never grow with the square of a group. Sets and shingles are told apart by 64-bit hashes.
+Only a row for each linked set of a unit leaves a task, so rows never grow with the square of a group. Sets and shingles are told apart by 64-bit hashes.
 
 Defined results: a null or empty text, or one of white space, has the empty set, links with nothing and is its own component;
+n_links is the number of other rows that a row links with, rows of an equal set included;
 rows with a null doc_id link like others but never name a component unless alone with such rows; repeated rows each get a row; an empty
 table gives an empty result. Columns besides doc_id and text are ignored.
 """
@@ -138,8 +139,25 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def verified(group: pa.Table, percent: int) -> dict | None:
-    """A forest of the links in one unit: all pairs of a block, or all pairs across two blocks."""
+class Postings:
+    """Which sets hold a shingle, for the overlaps of one set with all of them."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        every = np.concatenate(sets)
+        order = np.argsort(every, kind="stable")
+        self.keys, self.of = every[order], np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])[order]
+        self.n = len(sets)
+
+    def overlaps(self, s: np.ndarray) -> np.ndarray:
+        at, end = np.searchsorted(self.keys, s), np.searchsorted(self.keys, s, "right")
+        many = end - at
+        rows = np.repeat(end - np.cumsum(many), many) + np.arange(int(many.sum()))
+        return np.bincount(self.of[rows], minlength=self.n)
+
+
+def verified(group: pa.Table, percent: int, few: int = 16) -> dict | None:
+    """All links in one unit, which is all pairs of a block or all pairs across two blocks: each linked set with the number of rows it links
+    with there, and the first set of the unit that links reach from it."""
     bi, bj = group["bi"][0].as_py(), group["bj"][0].as_py()
     seen: dict[int, int] = {}
     for k, node in enumerate(group["node"].to_pylist()):
@@ -152,23 +170,26 @@ def verified(group: pa.Table, percent: int) -> dict | None:
     if not len(left) or not len(right):
         return None
     groups = int(min(512, max(16, np.mean([len(s) for s in sets]) // 4)))
-    tree = CountTree([sets[k] for k in right], groups)
-    root = np.arange(len(sets))
-
-    def find(k):
-        while root[k] != k:
-            root[k] = root[root[k]]
-            k = root[k]
-        return k
-
-    a, b = [], []
+    tree, postings = CountTree([sets[k] for k in right], groups), None
+    copies, sizes = group["copies"].to_numpy()[rows], np.array([len(s) for s in sets])
+    n, root = np.zeros(len(sets), np.int64), np.arange(len(sets))
     for x in left:
-        for y in right[tree.search(tree.point(sets[x]), len(sets[x]), percent)]:
-            if (bi != bj or x < y) and (p := find(x)) != (q := find(y)) and linked(sets[x], sets[y], percent):
-                root[max(p, q)] = min(p, q)
-                a.append(nodes[x])
-                b.append(nodes[y])
-    return {"a": a, "b": b} if a else None
+        near = tree.search(tree.point(sets[x]), len(sets[x]), percent)
+        near = near[right[near] > x] if bi == bj else near
+        if len(near) > few:
+            postings = postings or Postings([sets[k] for k in right])
+            both = postings.overlaps(sets[x])[near]
+            found = right[near[100 * both >= percent * (sizes[x] + sizes[right[near]] - both)]]
+        else:
+            found = right[[k for k in near if linked(sets[x], sets[right[k]], percent)]]
+        if len(found):
+            n[x] += copies[found].sum()
+            n[found] += copies[x]
+            joined = np.unique(np.append(root[found], root[x]))
+            if len(joined) > 1:
+                root[np.isin(root, joined)] = joined[0]
+    some = np.flatnonzero(n)
+    return {"id": nodes[some], "n": n[some], "root": nodes[root[some]]} if len(some) else None
 
 
 def _nodes(batches, width: int):
@@ -178,7 +199,7 @@ def _nodes(batches, width: int):
 
 
 def units(members: DataFrame, percent: int, block_shingles: int, block_docs: int) -> DataFrame:
-    """node, component, first, sub (a block) and units (the pairs of blocks to compare) of every member of a candidate cluster.
+    """node, component, first, copies, sub (a block) and units (the pairs of blocks to compare) of every member of a candidate cluster.
 
     A cluster within the limits is one block. A larger one is cut by set size into classes, of which only neighbours can hold linked
     sets, and a class over the limits is cut further by a hash. Blocks are numbered class * 2^16 + part.
@@ -199,11 +220,11 @@ def units(members: DataFrame, percent: int, block_shingles: int, block_docs: int
     pair = lambda x, y: F.struct(F.least(x, y).alias("bi"), F.greatest(x, y).alias("bj"))
     each = lambda n, step: F.transform(upto(n), lambda k: pair(F.col("sub"), block(F.col("class") + step, k)))
     found = F.concat(each(F.col("parts"), 0), each(F.col("before"), -1), each(F.col("after"), 1))
-    return rows.select("node", "component", "first", "sub", found.alias("units"))
+    return rows.select("node", "component", "first", "copies", "sub", found.alias("units"))
 
 
 def similar_documents(docs: DataFrame, width: int = 4, percent: int = 85, block_shingles: int = 1 << 21, block_docs: int = 2048) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of docs (doc_id, text)."""
+    """doc_id, n_shingles, component_id, n_links for every row of docs (doc_id, text)."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
 
     def shape(batches):
@@ -256,8 +277,8 @@ def similar_documents(docs: DataFrame, width: int = 4, percent: int = 85, block_
     edges = chained.select("node", F.when(F.col("other").isNull(), F.col("before")).otherwise(F.col("other")).alias("other")).where("node <> other")
     clusters = components(edges, "node", "other")
 
-    first = shapes.groupBy("node").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"))
-    members = clusters.join(first, "node").select("node", "component", "first", "n")
+    first = shapes.groupBy("node").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies"))
+    members = clusters.join(first, "node").select("node", "component", "first", "n", "copies")
     members, _ = materialize(members, "members")
     placed = units(members, percent, block_shingles, block_docs)
 
@@ -265,8 +286,8 @@ def similar_documents(docs: DataFrame, width: int = 4, percent: int = 85, block_
         for batch in batches:
             sets = [shingles(word_hashes((t.as_py() or "").encode("utf-8", "surrogatepass")), width) for t in batch["text"]]
             yield pa.RecordBatch.from_arrays(
-                [batch["node"], batch["component"], batch["sub"], batch["units"], pa.array([set_hash(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                ["node", "component", "sub", "units", "own", "shingles"],
+                [batch["node"], batch["component"], batch["copies"], batch["sub"], batch["units"], pa.array([set_hash(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                ["node", "component", "copies", "sub", "units", "own", "shingles"],
             )
 
     likely = maybe_in(rows, "doc_id", members.select(F.col("first").alias("doc_id")))
@@ -275,19 +296,24 @@ def similar_documents(docs: DataFrame, width: int = 4, percent: int = 85, block_
     if unnamed.limit(1).count():  # sets that only rows without an id have
         nodes = rows.where("doc_id is null").select("text").mapInArrow(lean(lambda it: _nodes(it, width)), "text string, node bigint").dropDuplicates(["node"])
         texts = texts.unionByName(nodes.join(unnamed, "node").select(texts.columns))
-    held = texts.select("text", "node", "component", "sub", "units").mapInArrow(lean(gather), "node bigint, component bigint, sub int, units array<struct<bi int, bj int>>, own bigint, shingles binary")
+    held = texts.select("text", "node", "component", "copies", "sub", "units").mapInArrow(lean(gather), "node bigint, component bigint, copies bigint, sub int, units array<struct<bi int, bj int>>, own bigint, shingles binary")
     # rows that share a doc_id may hold other texts than the one that was placed
-    held = held.where("own = node").select("node", "component", "sub", "shingles", F.explode("units").alias("u")).select("node", "component", "sub", "shingles", "u.bi", "u.bj")
-    links = map_groups(held, ["component", "bi", "bj"], lambda g: verified(g, percent), "a bigint, b bigint", pa.schema([("a", pa.int64()), ("b", pa.int64())]))
-    reached = components(links)
+    held = held.where("own = node").select("node", "component", "copies", "sub", "shingles", F.explode("units").alias("u")).select("node", "component", "copies", "sub", "shingles", "u.bi", "u.bj")
+    found = map_groups(held, ["component", "bi", "bj"], lambda g: verified(g, percent), "id bigint, n bigint, root bigint", pa.schema([("id", pa.int64()), ("n", pa.int64()), ("root", pa.int64())]))
+    found, _ = materialize(found, "links")
+    links = found.groupBy(F.col("id").alias("node")).agg(F.sum("n").alias("links"))
+    reached = components(found.where("id <> root"), "id", "root")
     least = reached.join(first, "node").groupBy("component").agg(F.min("first").alias("least"))
-    names = first.join(reached.join(least, "component").select("node", "least"), "node", "left").select("node", F.coalesce("least", "first").alias("named"))
+    names = first.join(reached.join(least, "component").select("node", "least"), "node", "left").join(links, "node", "left")
+    names = names.select("node", F.coalesce("least", "first").alias("named"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
     out = shapes.join(names, "node", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("named")).otherwise(F.col("doc_id")).alias("component_id"))
+    linked_rows = F.when(F.col("n") > 0, F.col("links")).otherwise(0).cast("bigint")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("named")).otherwise(F.col("doc_id")).alias("component_id"), linked_rows.alias("n_links"))
 
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_documents(table(spark, sf_dir, "documents"))
+    """The columns of its SQL; n_links is the operator's."""
+    return similar_documents(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 OP10_SQL = """
