@@ -4,7 +4,7 @@ Every stage works on all rows its predecessor kept, and all but the last return
 
 1. toxicity      documents that the classifier rejects go; clean ones stay untouched
 2. line_dedup    lines that at least three documents share stay in one of them
-3. near_dups     of each group of similar documents the one with the smallest doc_id stays
+3. near_dups     of each group of similar documents the row with the smallest doc_id stays
 4. source_mix    whole documents, drawn to the sources' target words; a document that is taken twice gives two rows
 5. bpe           token counts and the hashes of ids and decoded text, a row for each row of the mixture
 """
@@ -12,10 +12,11 @@ Every stage works on all rows its predecessor kept, and all but the last return
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from termloom.llm import bpe, jaccard, lines, mixing, toxicity
-from termloom.llm.shared import materialize, table
+from termloom.llm.shared import WORD, materialize, table
 
 
 REST = "__tl_rest"
@@ -45,10 +46,18 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Similar is 0.8 or more on five words, which differs from the query of operator 10. Rows without a doc_id can't be told apart and stay."""
-    groups = jaccard.similar_documents(docs, width=5, percent=80)
-    kept = groups.where("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("__tl_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__tl_kept")), "left_semi")
+    """Similar is 0.8 or more on five words, which differs from the query of operator 10. One row of each group stays: that of the smallest
+    doc_id (nulls last), then row hash, then hash of its other columns. Rows without words are alike to none and stay."""
+    groups = jaccard.similar_rows(docs, width=5, percent=80).where("n_shingles > 0").groupBy("component", "doc_id", "row").agg(F.count(F.lit(1)).alias("copies"))
+    kept = groups.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row", "copies")).alias("first")).select("first.row", "first.copies")
+    of = lambda which: kept.where(which).select(F.col("row").alias("__tl_row"))
+    wordless = F.coalesce(~F.col("text").rlike(WORD), F.lit(True))
+    rows = docs.withColumn("__tl_row", jaccard.row_hash()).where(~wordless)
+    alone = rows.join(of("copies = 1"), "__tl_row", "left_semi")
+    rest = F.xxhash64(*(f"`{c}`" for c in docs.columns if "map<" not in docs.schema[c].dataType.simpleString()))
+    copies = rows.join(of("copies > 1"), "__tl_row", "left_semi").withColumn("__tl_k", F.row_number().over(W.partitionBy("__tl_row").orderBy(rest)))
+    one = alone.drop("__tl_row").unionByName(copies.where("__tl_k = 1").drop("__tl_row", "__tl_k"))
+    return one.unionByName(docs.where(wordless))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

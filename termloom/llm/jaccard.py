@@ -27,7 +27,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -223,16 +223,26 @@ def units(members: DataFrame, percent: int, block_shingles: int, block_docs: int
     return rows.select("node", "component", "first", "copies", "sub", found.alias("units"))
 
 
-def similar_documents(docs: DataFrame, width: int = 4, percent: int = 85, block_shingles: int = 1 << 21, block_docs: int = 2048) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links for every row of docs (doc_id, text)."""
+def row_hash() -> Column:
+    """Of a row's doc_id and text."""
+    return F.xxhash64(F.col("doc_id").cast("bigint"), "text")
+
+
+def similar_documents(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links for every row of docs (doc_id, text); the options are those of similar_rows."""
+    return similar_rows(docs, **options).drop("row", "component")
+
+
+def similar_rows(docs: DataFrame, width: int = 4, percent: int = 85, block_shingles: int = 1 << 21, block_docs: int = 2048) -> DataFrame:
+    """As similar_documents, with row (row_hash) and component, which tells components apart where doc_ids are null or repeat."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
 
     def shape(batches):
         for batch in batches:
             sets = [shingles(word_hashes((t.as_py() or "").encode("utf-8", "surrogatepass")), width) for t in batch["text"]]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array([set_hash(s) for s in sets], pa.int64())], ["doc_id", "n", "node"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["row"], pa.array([len(s) for s in sets], pa.int64()), pa.array([set_hash(s) for s in sets], pa.int64())], ["doc_id", "row", "n", "node"])
 
-    shapes, _ = materialize(rows.mapInArrow(lean(shape), "doc_id bigint, n bigint, node bigint"), "shapes")
+    shapes, _ = materialize(rows.withColumn("row", row_hash()).mapInArrow(lean(shape), "doc_id bigint, row bigint, n bigint, node bigint"), "shapes")
 
     def sign(batches):
         classes = SizeClasses(percent)
@@ -304,11 +314,11 @@ def similar_documents(docs: DataFrame, width: int = 4, percent: int = 85, block_
     links = found.groupBy(F.col("id").alias("node")).agg(F.sum("n").alias("links"))
     reached = components(found.where("id <> root"), "id", "root")
     least = reached.join(first, "node").groupBy("component").agg(F.min("first").alias("least"))
-    names = first.join(reached.join(least, "component").select("node", "least"), "node", "left").join(links, "node", "left")
-    names = names.select("node", F.coalesce("least", "first").alias("named"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
+    names = first.join(reached.join(least, "component").select("node", "least", "component"), "node", "left").join(links, "node", "left")
+    names = names.select("node", F.coalesce("component", "node").alias("component"), F.coalesce("least", "first").alias("named"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
     out = shapes.join(names, "node", "left")
     linked_rows = F.when(F.col("n") > 0, F.col("links")).otherwise(0).cast("bigint")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("named")).otherwise(F.col("doc_id")).alias("component_id"), linked_rows.alias("n_links"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("named")).otherwise(F.col("doc_id")).alias("component_id"), linked_rows.alias("n_links"), "row", "component")
 
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,3 +27,13 @@ def test_stage_against_brute_force(spark, monkeypatch):
     df = spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(5)
     want = sorted(i for i, _, c in stage_brute(list(rows.items()), monkeypatch) if i == c)
     assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect()) == want
+
+
+def test_rows_with_null_and_repeated_ids(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    rows = [(1, a, "x"), (None, a, "x"), (5, a, "x"), (5, b, "x"), (None, c, "x"), (None, c, "x"), (7, "one two", "x"), (7, "one two", "y"), (7, "one two", "x"), (8, "", "x"), (8, "", "x"), (None, None, "x"), (9, " \t", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `a.b` string").repartition(3)
+    got = [tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect()]
+    sevens = [r for r in got if r[0] == 7]
+    assert len(sevens) == 1 and sevens[0] in rows
+    assert sorted((r for r in got if r[0] != 7), key=str) == sorted([rows[0], rows[3], rows[4], *rows[9:]], key=str)
