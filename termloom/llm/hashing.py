@@ -1,18 +1,22 @@
-"""64-bit hashes of words, shingles and byte windows, vectorised over a text's bytes.
+"""64-bit hashes of words, shingles and byte strings, vectorised over a text's bytes.
 
-A string's hash is the sum of a random number for each byte times a power of an odd base, modulo 2^64. With running sums over a
-text any substring's hash is a difference times an inverse power, so all words or all windows take a few passes over the bytes.
+Bytes enter as whole numbers of eight, and every step passes them through a mixing function, never through sums of powers: a polynomial
+modulo 2^64 gives equal hashes to long strings as simple as a Thue-Morse word and its complement, whatever its base.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
+import sys
 
 import numpy as np
+import xxhash
 
 U = np.uint64
 MASK = (1 << 64) - 1
 
+#: Odd multipliers of a shingle's places.
+PLACES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)
+
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit (the finaliser of splitmix64)."""
@@ -21,81 +25,68 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-class Rolling:
-    """Hashes of substrings of byte arrays up to a length; `seed` picks the base and the numbers of the bytes."""
-
-    def __init__(self, seed: int, lower: bool = False):
-        rng = np.random.default_rng([seed, 64])
-        self.numbers = rng.integers(1, 1 << 63, 256, dtype=np.int64).astype(U) * U(2) + U(1)
-        if lower:
-            self.numbers[65:91] = self.numbers[97:123]
-        self.base = int(rng.integers(1 << 20, 1 << 62)) * 8 + 5
-        self.back = pow(self.base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, U)
-
-    def _powers(self, n: int) -> None:
-        if len(self.up) < n:
-            size = max(n, 2 * len(self.up), 1 << 16)
-            for name, base in (("up", self.base), ("down", self.back)):
-                p = np.empty(size, U)
-                p[0] = 1
-                done = 1
-                while done < size:  # doubling: base^(a+b) = base^a * base^b
-                    more = min(done, size - done)
-                    p[done : done + more] = p[:more] * U(pow(base, done, 1 << 64))
-                    done += more
-                setattr(self, name, p)
-
-    def sums(self, data: np.ndarray) -> np.ndarray:
-        """Running sums, one longer than the data."""
-        self._powers(len(data) + 1)
-        out = np.empty(len(data) + 1, U)
-        out[0] = 0
-        np.cumsum(self.numbers[data] * self.up[: len(data)], out=out[1:])
-        return out
-
-    def spans(self, sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return (sums[ends] - sums[starts]) * self.down[starts]
-
-    def windows(self, sums: np.ndarray, width: int) -> np.ndarray:
-        """Of every window of the width."""
-        n = len(sums) - width
-        return (sums[width:] - sums[:n]) * self.down[:n]
+def pair_ranks(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One number for each pair, different in a and b."""
+    x = a * U(PLACES[0])
+    x ^= x >> U(32)
+    x += b
+    return mix(x)
 
 
-#: Bytes from tab to carriage return, and the space.
-BLANK = np.zeros(256, bool)
-BLANK[[9, 10, 11, 12, 13, 32]] = True
+def grams(data: bytes | np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as a number, without a copy; as many as whole ones fit."""
+    if sys.byteorder != "little":
+        raise RuntimeError("hashes are defined on little-endian machines")
+    return np.ndarray((max(0, len(data) - 7),), U, buffer=data, strides=(1,)) if len(data) > 7 else np.zeros(0, U)
 
 
-@lru_cache(maxsize=4)
-def rolling(seed: int, lower: bool = False) -> Rolling:
-    return Rolling(seed, lower)
+def doubled(data: np.ndarray, width: int) -> np.ndarray:
+    """Ranks of all `width`-byte strings by prefix doubling from eight bytes: the rank at 2w is that of the pair of ranks at w, w apart.
+    width is 8 times a power of 2."""
+    ranks, w = grams(data), 8
+    while w < width:
+        ranks = pair_ranks(ranks[:-w], ranks[w:]) if len(ranks) > w else np.zeros(0, U)
+        w *= 2
+    return ranks
 
 
-def word_hashes(data: bytes, seed: int = 1, segment: int = 1 << 20) -> np.ndarray:
-    """Hashes of a text's words, A-Z lowered. Long texts go in segments that end at white space."""
-    own, all_bytes, found, at = rolling(seed, True), np.frombuffer(data, np.uint8), [], 0
-    while at < len(all_bytes):
-        end = min(len(all_bytes), at + segment)
-        while end < len(all_bytes):
-            rest = np.flatnonzero(BLANK[all_bytes[end : end + segment]])
-            if len(rest):
-                end += int(rest[0])
-                break
-            end = min(len(all_bytes), end + segment)
-        part = all_bytes[at:end]
-        inside = np.empty(len(part) + 2, bool)
-        inside[0] = inside[-1] = False
-        np.logical_not(BLANK[part], out=inside[1:-1])
-        edges = np.flatnonzero(inside[1:] != inside[:-1])
-        found.append(own.spans(own.sums(part), edges[::2], edges[1::2]))
-        at = end
-    return mix(np.concatenate(found)) if found else np.zeros(0, U)
+#: Bytes from tab to carriage return, and the space.
+BLANK = np.zeros(256, bool)
+BLANK[[9, 10, 11, 12, 13, 32]] = True
+#: The first k bytes of eight.
+FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
+#: Words over so many bytes are hashed by the library.
+LONG_WORD = 64
 
 
-#: Odd multipliers of a shingle's places.
-PLACES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)
+def word_hashes(data: bytes, seed: int = 1, segment: int = 1 << 20) -> np.ndarray:
+    """Hashes of a text's words, A-Z lowered. Their edges are looked for in segments."""
+    n = len(data)
+    padded = data.lower() + bytes(8)
+    every, edges, before = np.frombuffer(padded, np.uint8)[:n], [], True
+    for at in range(0, n, segment):
+        blank = BLANK[every[at : at + segment]]
+        edges.append(np.flatnonzero(blank[1:] != blank[:-1]) + at + 1)
+        if blank[0] != before:
+            edges.insert(-1, np.array([at]))
+        before = blank[-1]
+    if not before:
+        edges.append(np.array([n]))
+    if not edges:
+        return np.zeros(0, U)
+    edges = np.concatenate(edges)
+    start, size = edges[::2], edges[1::2] - edges[::2]
+    eight = grams(padded)
+    h = mix(size.astype(U) * U(PLACES[1]) + U(seed))
+    h = mix(h ^ (eight[start] & FIRST[np.minimum(size, 8)]))
+    for at in range(8, LONG_WORD, 8):
+        more = np.flatnonzero(size > at)
+        if not len(more):
+            break
+        h[more] = mix(h[more] ^ (eight[start[more] + at] & FIRST[np.minimum(size[more] - at, 8)]))
+    for k in np.flatnonzero(size > LONG_WORD):
+        h[k] = xxhash.xxh3_64_intdigest(padded[start[k] : start[k] + size[k]], seed)
+    return h
 
 
 def shingles(words: np.ndarray, width: int) -> np.ndarray:

@@ -13,7 +13,8 @@ A document is the set of its distinct word shingles; documents with equal sets a
    are cut into blocks by set size, then by a hash, and each pair of blocks whose sizes allow a link is a unit of its own.
 3. Components of the verified links, and sums of the link counts of the units; a set counts for each of its rows.
 
-Only a row for each linked set of a unit leaves a task, so rows never grow with the square of a group. Sets and shingles are told apart by 64-bit hashes.
+Only a row for each linked set of a unit leaves a task, so rows never grow with the square of a group. Shingles are told apart by 64-bit
+hashes, sets by two of them: where two sets share the first, which names them, all hashes are made anew with another seed.
 
 Defined results: a null or empty text, or one of white space, has the empty set, links with nothing and is its own component;
 n_links is the number of other rows that a row links with, rows of an equal set included;
@@ -37,12 +38,20 @@ from termloom.llm.hashing import MASK, U, mix, shingles, word_hashes
 from termloom.llm.shared import lean, materialize, maybe_in, table
 
 
-def set_hash(s: np.ndarray) -> int:
+def set_hash(s: np.ndarray, salt: int = 0x5851F42D4C957F2D) -> int:
     """Of a set without order, as a signed 64-bit number."""
-    x = (int(mix(s ^ U(0x5851F42D4C957F2D)).sum(dtype=U)) ^ (len(s) * 0x9E3779B97F4A7C15)) & MASK
+    x = (int(mix(s ^ U(salt)).sum(dtype=U)) ^ (len(s) * 0x9E3779B97F4A7C15)) & MASK
     return x - (1 << 64) if x >> 63 else x
 
 
+#: Salt of the second hash of a set.
+CHECK = 0xDA942042E4DD58B5
+
+
+def shingle_set(text: pa.StringScalar, width: int, seed: int) -> np.ndarray:
+    return shingles(word_hashes((text.as_py() or "").encode("utf-8", "surrogatepass"), seed), width)
+
+
 class SizeClasses:
     """Classes [low, high) of the smaller set's size, with the number of groups of each."""
 
@@ -192,9 +201,9 @@ def verified(group: pa.Table, percent: int, few: int = 16) -> dict | None:
     return {"id": nodes[some], "n": n[some], "root": nodes[root[some]]} if len(some) else None
 
 
-def _nodes(batches, width: int):
+def _nodes(batches, width: int, seed: int):
     for batch in batches:
-        sets = [shingles(word_hashes((t.as_py() or "").encode("utf-8", "surrogatepass")), width) for t in batch["text"]]
+        sets = [shingle_set(t, width, seed) for t in batch["text"]]
         yield pa.RecordBatch.from_arrays([batch["text"], pa.array([set_hash(s) for s in sets], pa.int64())], ["text", "node"])
 
 
@@ -233,16 +242,22 @@ def similar_documents(docs: DataFrame, **options) -> DataFrame:
     return similar_rows(docs, **options).drop("row", "component")
 
 
-def similar_rows(docs: DataFrame, width: int = 4, percent: int = 85, block_shingles: int = 1 << 21, block_docs: int = 2048) -> DataFrame:
+def similar_rows(docs: DataFrame, width: int = 4, percent: int = 85, block_shingles: int = 1 << 20, block_docs: int = 2048, seed: int = 1) -> DataFrame:
     """As similar_documents, with row (row_hash) and component, which tells components apart where doc_ids are null or repeat."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
 
     def shape(batches):
         for batch in batches:
-            sets = [shingles(word_hashes((t.as_py() or "").encode("utf-8", "surrogatepass")), width) for t in batch["text"]]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["row"], pa.array([len(s) for s in sets], pa.int64()), pa.array([set_hash(s) for s in sets], pa.int64())], ["doc_id", "row", "n", "node"])
+            sets = [shingle_set(t, width, seed) for t in batch["text"]]
+            hashes = [pa.array([set_hash(s, *salt) for s in sets], pa.int64()) for salt in ((), (CHECK,))]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["row"], pa.array([len(s) for s in sets], pa.int64()), *hashes], ["doc_id", "row", "n", "node", "check"])
 
-    shapes, _ = materialize(rows.withColumn("row", row_hash()).mapInArrow(lean(shape), "doc_id bigint, row bigint, n bigint, node bigint"), "shapes")
+    shapes, _ = materialize(rows.withColumn("row", row_hash()).mapInArrow(lean(shape), "doc_id bigint, row bigint, n bigint, node bigint, check bigint"), "shapes")
+    first = shapes.groupBy("node").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies"), (F.min("check") != F.max("check")).alias("clash"))
+    first, _ = materialize(first, "sets")
+    if first.where("clash").limit(1).count():
+        return similar_rows(docs, width, percent, block_shingles, block_docs, seed + 1)
+    shapes, first = shapes.drop("check"), first.drop("clash")
 
     def sign(batches):
         classes = SizeClasses(percent)
@@ -264,7 +279,7 @@ def similar_rows(docs: DataFrame, width: int = 4, percent: int = 85, block_shing
 
         for batch in batches:
             for t in batch["text"]:
-                s = shingles(word_hashes((t.as_py() or "").encode("utf-8", "surrogatepass")), width)
+                s = shingle_set(t, width, seed)
                 node = set_hash(s)
                 if node in own:
                     continue
@@ -276,7 +291,7 @@ def similar_rows(docs: DataFrame, width: int = 4, percent: int = 85, block_shing
                     sigs.append(x)
                     of.append(np.full(len(x), node))
                     total += len(x)
-                if total > 1 << 20:
+                if total > 1 << 19:
                     yield from flush()
                     sigs, of, total = [], [], 0
         if sigs:
@@ -287,14 +302,13 @@ def similar_rows(docs: DataFrame, width: int = 4, percent: int = 85, block_shing
     edges = chained.select("node", F.when(F.col("other").isNull(), F.col("before")).otherwise(F.col("other")).alias("other")).where("node <> other")
     clusters = components(edges, "node", "other")
 
-    first = shapes.groupBy("node").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies"))
     members = clusters.join(first, "node").select("node", "component", "first", "n", "copies")
     members, _ = materialize(members, "members")
     placed = units(members, percent, block_shingles, block_docs)
 
     def gather(batches):
         for batch in batches:
-            sets = [shingles(word_hashes((t.as_py() or "").encode("utf-8", "surrogatepass")), width) for t in batch["text"]]
+            sets = [shingle_set(t, width, seed) for t in batch["text"]]
             yield pa.RecordBatch.from_arrays(
                 [batch["node"], batch["component"], batch["copies"], batch["sub"], batch["units"], pa.array([set_hash(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
                 ["node", "component", "copies", "sub", "units", "own", "shingles"],
@@ -304,7 +318,7 @@ def similar_rows(docs: DataFrame, width: int = 4, percent: int = 85, block_shing
     texts = likely.join(placed.withColumnRenamed("first", "doc_id"), "doc_id").drop("doc_id")
     unnamed = placed.where("first is null").drop("first")
     if unnamed.limit(1).count():  # sets that only rows without an id have
-        nodes = rows.where("doc_id is null").select("text").mapInArrow(lean(lambda it: _nodes(it, width)), "text string, node bigint").dropDuplicates(["node"])
+        nodes = rows.where("doc_id is null").select("text").mapInArrow(lean(lambda it: _nodes(it, width, seed)), "text string, node bigint").dropDuplicates(["node"])
         texts = texts.unionByName(nodes.join(unnamed, "node").select(texts.columns))
     held = texts.select("text", "node", "component", "copies", "sub", "units").mapInArrow(lean(gather), "node bigint, component bigint, copies bigint, sub int, units array<struct<bi int, bj int>>, own bigint, shingles binary")
     # rows that share a doc_id may hold other texts than the one that was placed

@@ -1,23 +1,26 @@
 """Removal of repeated substrings: prefix doubling over sampled positions, with Spark doing the sorts.
 
-Wanted are all positions p whose `length`-byte string also starts earlier. Ranks only need to tell strings apart, so a rank is a 64-bit
-hash, and the rank of a longer string at any offset comes from running sums over the text. Doubling from every byte would sort about
+Wanted are all positions p whose `length`-byte string also starts earlier. The rank of a string of 2w bytes is that of the pair of its halves'
+ranks at w, from eight bytes on, which are their own rank. Ranks only need to tell strings apart, so the rank of a pair is a 64-bit
+number made from it, and a round needs no numbering of sorted pairs. Doubling from every byte would sort about
 24 bytes of state for each byte of text in every round; sampled positions cut that to one row in about 32 bytes:
 
-1. Each window of `length` bytes belongs to the position in it whose `first`-byte string has the smallest hash. Equal windows
+1. Each window of `length` bytes belongs to the position in it whose `first`-byte string has the smallest rank. Equal windows
    choose the same place, so a sampled position and the run of windows it owns stand for all of them. Spark sorts the positions by
    their rank at `first` bytes; those whose rank is unique leave.
 2. Positions of one rank are sorted by the pair of that rank and the rank of their whole run, which reaches past the threshold. Of
    equal pairs the earliest stays and the others are repeated as a whole. A rank with a single pair is settled.
-3. Where a rank has different pairs, its runs are reread and each of their windows is ranked at half and full `length`; all but the
-   earliest of equal windows are repeated.
+3. Where a rank has different pairs, its runs are reread and their windows ranked anew at growing offsets: at twice the bytes, where unique
+   ranks leave, and again until the offset is past half the threshold; then the pair of the ranks of a window's first and last
+   bytes covers it, and all but the earliest of equal pairs are repeated.
 
 A task settles its own equal pairs before the shuffle, so a passage that a third of all documents share reaches the sort once for
 each task. Sorted rows are streamed without holding a rank's rows; in step 3 a rank with over `block` runs is dealt by window.
 
 Defined results: null and empty texts have no bytes; texts under `length` bytes lose nothing; among rows of one doc_id the order is that
 of their texts' hashes, rows that agree in both count as one document and get the same result; null doc_ids come first; an empty table
-gives an empty result. Other columns, whatever their names, stay as they are. Long texts are ranked in segments.
+gives an empty result. Other columns, whatever their names, stay as they are. Long texts are ranked in segments. `first` is 8 times a power of
+2 and at most `length`.
 """
 
 from __future__ import annotations
@@ -28,12 +31,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from termloom.llm.groups import map_groups
-from termloom.llm.hashing import MASK, PLACES, U, mix, rolling
+from termloom.llm.hashing import MASK, PLACES, U, doubled, mix, pair_ranks
 from termloom.llm.shared import lean, materialize, table
 
 #: A run of windows is its first start and, in the last 24 bits, how many starts follow.
@@ -42,12 +44,18 @@ SEGMENT = 1 << 20
 ROW = "h bigint, pair bigint, did bigint, run bigint, done boolean"
 
 
+def run_ranks(ranks: np.ndarray, width: int, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Of strings of several sizes from `width` bytes on, folded from ranks at `width` that cover them evenly."""
+    parts = -(-int(size.max()) // width)
+    out = mix(size.astype(U))
+    for k in range(parts):
+        out = pair_ranks(out, ranks[start + (size - width) * k // max(1, parts - 1)])
+    return out
+
+
 def sampled(data: np.ndarray, first: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Rank at `first` bytes, rank of the whole run, first and last window start, of every sampled position."""
-    own = rolling(77)
-    sums = own.sums(data)
-    ranks = mix(own.windows(sums, first))
-    ranks = np.append(ranks, mix(own.spans(sums, np.array([len(data) - first]), np.array([len(data)]))))
+    ranks = doubled(data, first)
     wide = length - first + 1
     low = U(0xFFFFFFFF)
     keyed = (ranks & ~low) | np.arange(len(ranks), dtype=U)  # the leftmost of equal ones wins
@@ -62,18 +70,23 @@ def sampled(data: np.ndarray, first: int, length: int) -> tuple[np.ndarray, np.n
     start = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
     end = np.append(start[1:], n) - 1
     at = at[start]
-    pair = mix(own.spans(sums, start, end + length) + (at - start).astype(U) * U(PLACES[0]) + (end - start).astype(U) * U(PLACES[1]))
+    pair = mix(run_ranks(ranks, first, start, end - start + length) + (at - start).astype(U) * U(PLACES[2]))
     return ranks[at], pair, start, end
 
 
+def widest(length: int) -> int:
+    """Bytes of the last doubling round: 8 times a power of 2, past half of length and within it."""
+    w = 8
+    while 2 * w <= length:
+        w *= 2
+    return w
+
+
 def window_ranks(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of all windows: the pair of the ranks of the two halves, and the rank by other numbers."""
-    half = length // 2
-    own, other = rolling(77), rolling(78)
-    sums = own.sums(data)
-    at = np.arange(len(data) - length + 1)
-    left, right = own.spans(sums, at, at + half), own.spans(sums, at + half, at + length)
-    return mix(mix(left) * U(PLACES[2]) + right), mix(other.spans(other.sums(data), at, at + length))
+    """Of all windows: the ranks of their first and last widest(length) bytes, a pair that covers them."""
+    w = widest(length)
+    ranks, n = doubled(data, w), len(data) - length + 1
+    return ranks[:n], ranks[length - w : length - w + n]
 
 
 def packed(start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -183,6 +196,8 @@ def repeats_in_rank(group: pa.Table, length: int) -> dict | None:
         of.append(np.full(len(x), did[k]))
         at.append((run[k] >> SHIFT) + np.arange(len(x)))
     a, b, of, at = map(np.concatenate, (a, b, of, at))
+    _, which, count = np.unique(a, return_inverse=True, return_counts=True)
+    a, b, of, at = (x[count[which] > 1] for x in (a, b, of, at))  # unique after this round: settled
     order = np.lexsort((at, of, b, a))
     again = order[1:][(a[order][1:] == a[order][:-1]) & (b[order][1:] == b[order][:-1])]
     if not len(again):
@@ -272,8 +287,9 @@ def remove_repeats(docs: DataFrame, length: int = 100, first: int = 32, block: i
     ids = docs.select(plain.alias("__tl_id"), hashed.alias("__tl_hash"))
     marked = docs.withColumns({"__tl_id": plain, "__tl_hash": hashed})
     repeated = ids.groupBy("__tl_id").agg(F.min("__tl_hash").alias("a"), F.max("__tl_hash").alias("b")).where("a <> b").limit(1).count()
-    if repeated:  # one doc_id with several texts: number the documents in order
-        order = ids.distinct().withColumn("__tl_did", F.row_number().over(W.orderBy("__tl_id", "__tl_hash")).cast("bigint"))
+    if repeated:  # one doc_id with several texts: number the documents in order, range by range; the written table fixes the numbers
+        order = ids.distinct().repartitionByRange("__tl_id", "__tl_hash").sortWithinPartitions("__tl_id", "__tl_hash")
+        order, _ = materialize(order.withColumn("__tl_did", F.monotonically_increasing_id()), "order")
         marked = marked.join(order, ["__tl_id", "__tl_hash"])
     else:
         marked = marked.withColumn("__tl_did", F.col("__tl_id"))

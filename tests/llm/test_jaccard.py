@@ -86,6 +86,38 @@ def test_documents_against_brute_force(spark):
     assert jaccard.similar_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_thue_morse_words_are_told_apart(spark):
+    """One-word texts of 1024 letters whose hashes agree under any polynomial modulo 2^64, and texts that hold them."""
+    one = "a"
+    for _ in range(10):
+        one += one.translate(str.maketrans("ab", "ba"))
+    other = one.translate(str.maketrans("ab", "ba"))
+    rest = " ".join(f"w{k}" for k in range(12))
+    rows = list(enumerate([one, other, one[:16], other[:16], one[:64], other[:64], f"{one} {rest}", f"{other} {rest}", f"{one} {rest}"]))
+    got = result(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got == brute(rows) and [c for _, _, c in got] == [0, 1, 2, 3, 4, 5, 6, 7, 6]
+
+
+def test_sets_that_share_a_hash_are_hashed_anew(spark, monkeypatch):
+    """With a set hash of 6 bits for the first seed, most sets clash; the result is that of the second."""
+    rows = corpus(random.Random(3))[:80]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    plain, seeds = jaccard.set_hash, []
+
+    def short(s, *salt):
+        return plain(s, *salt) if salt or len(seeds) > 1 else plain(s) & 63
+
+    whole = jaccard.similar_rows
+
+    def watched(docs, *args, **options):
+        seeds.append(args)
+        return whole(docs, *args, **options)
+
+    monkeypatch.setattr(jaccard, "set_hash", short)
+    monkeypatch.setattr(jaccard, "similar_rows", watched)
+    assert result(df) == brute(rows) and len(seeds) == 2
+
+
 def test_linked_sets_share_a_bucket():
     """At the threshold itself, for many sizes: whatever differs, some bucket is shared."""
     rng, classes = np.random.default_rng(4), jaccard.SizeClasses(85)

@@ -81,6 +81,38 @@ def test_equal_ids_extra_columns_and_empty(spark):
     assert substrings.remove_repeats(df.where(F.lit(False))).count() == 0
 
 
+def thue_morse(k, a="a", b="b"):
+    s = a
+    for _ in range(k):
+        s += s.translate(str.maketrans(a + b, b + a))
+    return s
+
+
+def test_thue_morse_texts_are_told_apart(spark):
+    """Words whose hashes agree under any polynomial modulo 2^64, whole and inside other text."""
+    one = thue_morse(11)
+    other = one.translate(str.maketrans("ab", "ba"))
+    rows = list(enumerate([one, other, "x" * 40 + other[:300], one[500:900] + "y" * 30 + other[500:900], thue_morse(8, "é", "a")]))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert result(df) == brute(rows)
+    assert result(df, block=1) == brute(rows)
+
+
+def test_ranks_double():
+    import numpy as np
+
+    rng = random.Random(2)
+    data = np.frombuffer("".join(rng.choice("ab") for _ in range(3000)).encode(), np.uint8)
+    for width in (8, 16, 32, 64):
+        strings = [data[p : p + width].tobytes() for p in range(len(data) - width + 1)]
+        ranks = substrings.doubled(data, width).tolist()
+        assert len(ranks) == len(strings) and len(set(zip(ranks, strings))) == len(set(ranks)) == len(set(strings))
+    for length in (64, 100, 127, 128):
+        strings = [data[p : p + length].tobytes() for p in range(len(data) - length + 1)]
+        pairs = list(zip(*(x.tolist() for x in substrings.window_ranks(data, length))))
+        assert len(set(zip(pairs, strings))) == len(set(pairs)) == len(set(strings))
+
+
 def test_documents_against_brute_force(spark):
     sf = "/root/testdata/sf0.001"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()]
