@@ -1,7 +1,8 @@
 """Connected components of an edge table, as rounds of joins.
 
 Each round is a large star and a small star: every node's larger neighbours, then its smaller ones, are linked to the smallest node
-near it. Minima are combined before the shuffle, and a round never has more edges than the one before. Rounds are written to the
+near it. Minima are combined before the shuffle, and a round never has more edges than the one before. A node with a large part of all edges
+is joined by broadcast, so no task gets them all. Rounds are written to the
 shared folder; the loop ends when a round changes nothing, which takes a number of rounds that grows with the logarithm of the
 largest component.
 """
@@ -14,23 +15,34 @@ from pyspark.sql import functions as F
 from termloom.llm.shared import drop, materialize
 
 
+def hot_join(rows: DataFrame, facts: DataFrame, key: str, total: int, times: str = "times") -> DataFrame:
+    """rows joined with facts, which holds each key once and in `times` how many rows have it.
+
+    Keys with over a thousandth of the `total` rows, hence under a thousand keys, are broadcast and their rows stay where they are.
+    """
+    hot = F.col(times) * 1000 > F.lit(max(total, 100_000))
+    often = F.broadcast(facts.where(hot).drop(times))
+    rest = rows.join(often.select(key), key, "left_anti")
+    return rows.join(often, key).unionByName(rest.join(facts.where(~hot).drop(times), key))
+
+
 def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, component (the smallest node reachable) for every node of an edge; edges may repeat, point either way or be loops."""
-    spark = edges.sparkSession
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
+    spark = edges.sparkSession
     now, path = materialize(now, "edges")
     mark = _mark(now)
     while mark[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count_if(F.col("v") > F.col("u")).alias("times")).select("u", F.least("u", "m").alias("m"), "times")
+        large = hot_join(now.select(F.col("v").alias("u"), F.col("u").alias("w")), least, "u", mark[0]).select(F.col("w").alias("u"), F.col("m").alias("v")).distinct()
         large, middle = materialize(large, "edges")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("times"))
+        small = hot_join(large, least, "u", mark[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         small, after = materialize(small, "edges")
         drop(spark, middle)
         drop(spark, path)
