@@ -90,6 +90,12 @@ class LineRuns:
         """h1, h2, n_docs, keeper over all batches."""
         return self._merged(self._live())
 
+    def __enter__(self) -> LineRuns:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
     def close(self) -> None:
         """Drop the runs' tables."""
         for name in self._live():
@@ -111,11 +117,10 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
     shares = [i / batches for i in range(1, batches)]
     cuts = sorted(set(keys.agg(F.percentile_approx("did", shares)).first()[0] or [])) if shares else []
     edges = [NO_ID, *(int(c) for c in cuts), None]
-    runs = LineRuns(spark, fanout=fanout)
-    for low, high in reversed(list(zip(edges, edges[1:]))):
-        runs.add(keys.where((F.col("did") >= low) & (F.lit(True) if high is None else F.col("did") < high)))
-    common, _ = materialize(runs.totals().where(F.col("n_docs") >= min_docs).select("h1", "h2", "keeper"), "line-common")
-    runs.close()
+    with LineRuns(spark, fanout=fanout) as runs:
+        for low, high in reversed(list(zip(edges, edges[1:]))):
+            runs.add(keys.where((F.col("did") >= low) & (F.lit(True) if high is None else F.col("did") < high)))
+        common, _ = materialize(runs.totals().where(F.col("n_docs") >= min_docs).select("h1", "h2", "keeper"), "line-common")
     cut = keys.join(common, ["h1", "h2"]).where(F.col("did") != F.col("keeper"))
     cut = cut.groupBy("did", "th").agg(F.collect_set("pos").alias("__tl_cut")).select(F.col("did").alias("__tl_did"), F.col("th").alias("__tl_th"), "__tl_cut")
     marked = docs.withColumns({"__tl_k": did, "__tl_t": th}).join(cut, (F.col("__tl_k") == F.col("__tl_did")) & (F.col("__tl_t") == F.col("__tl_th")), "left")

@@ -1,11 +1,14 @@
+import hashlib
+import math
 import random
 from collections import Counter
+from fractions import Fraction
 
 import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
-from termloom.llm import lines, mixing
+from termloom.llm import mixing
 
 
 def documents(spark):
@@ -15,38 +18,92 @@ def documents(spark):
     return spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, source string, text string, size int")
 
 
-def plan(spark, **options):
-    return mixing.plan_mix(documents(spark), block_words=64, shard_words=2000, **options).collect()
+def dealt(docs, **options):
+    """Rows of the plan, and of the pieces dealt to shards."""
+    plan, stretches = mixing.plan_mix(docs, block_words=64, shard_words=2000, **options)
+    return plan.collect(), mixing.deal(plan, stretches).collect()
 
 
 def test_targets_caps_and_disjoint_pieces(spark):
-    rows = plan(spark)
-    assert len(rows) == 606
-    taken, have, target = Counter(), Counter(), {}
-    used = Counter()
+    rows, pieces = dealt(documents(spark))
+    assert len(rows) == 606 and sum(len(r.pieces) for r in rows) == len(pieces)
+    taken, have, target = Counter(), Counter(), {r.source: r.target for r in rows}
     for r in rows:
-        words = sum(p.n for p in r.pieces)
-        assert words <= 2 * r.size and all(p.start + p.n <= r.size and p.shard >= 0 for p in r.pieces)
-        taken[r.source] += words
+        assert sum(p.n for p in r.pieces) <= 2 * r.size and all(p.start + p.n <= r.size for p in r.pieces)
         have[r.source] += r.size
-        target[r.source] = r.target
-        used.update((r.source, p.epoch, p.block, p.shard) for p in r.pieces)
+    instances = {}
+    for p in pieces:
+        taken[p.source] += p.n
+        instances.setdefault((p.source, p.epoch, p.block), set()).add((p.shard, p.instance))
     assert all(have[s] == next(r.source_size for r in rows if r.source == s) for s in have)
     assert all(abs(taken[s] - target[s]) <= 1 and target[s] <= 2 * have[s] for s in have)
     assert abs(sum(target.values()) - 1.5 * sum(have.values())) < 1e-6
-    shards = Counter()
-    for (s, e, b), group in _by(used, 3).items():
-        assert len(group) == 1  # a block instance is in one shard
-        shards[group.pop()] += 1
+    assert all(len(x) == 1 for x in instances.values())  # a block instance is in one shard
+    shards = Counter(next(iter(x))[0] for x in instances.values())
     assert max(shards.values()) - min(shards.values()) <= 2 + len(shards).bit_length()
-    assert sorted(map(str, plan(spark))) == sorted(map(str, rows))
 
 
-def _by(used, n):
-    out = {}
-    for key in used:
-        out.setdefault(key[:n], set()).add(key[n])
-    return out
+def draw(u, good, total, drawn):
+    """The quantile u of the hypergeometric distribution, with whole numbers."""
+    low, high = max(0, drawn - (total - good)), min(good, drawn)
+    ways = [math.comb(good, k) * math.comb(total - good, drawn - k) for k in range(low, high + 1)]
+    left = Fraction(u) * sum(ways)
+    for k, w in enumerate(ways):
+        left -= w
+        if left < 0:
+            return low + k
+    return high
+
+
+def brute_tree(quotas, shards, seed):
+    """(source, instance) -> shard, node by node."""
+    names, found = [s for s, _ in quotas], {}
+    todo = [(1, [q for _, q in quotas], [0] * len(quotas))]
+    while todo:
+        node, counts, starts = todo.pop()
+        if node >= shards:
+            found |= {(names[i], starts[i] + k): node - shards for i in range(len(names)) for k in range(counts[i])}
+            continue
+        total, left = sum(counts), []
+        room = (total + node % 2) // 2
+        for i, c in enumerate(counts):
+            u = int(hashlib.md5(f"{seed}:{node}:{i}".encode()).hexdigest()[:15], 16) / float(1 << 60)
+            left.append(draw(u, c, total, room))
+            total, room = total - c, room - left[-1]
+        todo += [(2 * node, left, starts), (2 * node + 1, [c - x for c, x in zip(counts, left)], [s + x for s, x in zip(starts, left)])]
+    return found
+
+
+def test_shards_are_the_trees(spark):
+    """Every piece is in the shard that a tree drawn with whole numbers gives its block."""
+    rows, pieces = dealt(documents(spark))
+    size, words = Counter(), sum(r.size for r in rows)
+    shards = 1 << max(2, math.ceil(math.log2(words * 1.5 / 2000)))
+    for r in rows:
+        size[r.source] += r.size
+    quota = {}
+    for r in rows:
+        whole, n = math.floor(r.target + 0.5), max(1, size[r.source])
+        quota[r.source] = whole // n * -(-size[r.source] // 64) + -(-(whole % n) // 64)
+    want = brute_tree(sorted(quota.items(), key=lambda x: (x[0] is None, x[0])), shards, 7)
+    instances = {(p.source, p.instance): p.shard for p in pieces}
+    assert instances == want and len(set(want.values())) == shards
+
+
+def test_reruns_agree(spark):
+    """Whatever the partitions: ids that repeat with other texts, null ids and repeated rows."""
+    rng = random.Random(7)
+    rows = [(rng.choice([None, 1, 2, k]), rng.choice("ab"), " ".join("x" * rng.randint(1, 4) for _ in range(rng.randint(0, 60))), k % 2) for k in range(400)]
+    rows += rows[:40]
+    seen, whole = set(), set()
+    for k, by in ((1, "text"), (3, "doc_id"), (7, "source")):
+        rng.shuffle(rows)
+        docs = spark.createDataFrame(rows, "doc_id long, source string, text string, extra int").repartition(k, by)
+        plan, pieces = dealt(docs)
+        seen.add(str((sorted(str((r.doc_id, r.source, r.size, r.pieces)) for r in plan), sorted(str((p.doc_id, p.shard, p.place, p.n)) for p in pieces))))
+        mixed = mixing.mix(docs, block_words=64, shard_words=2000, whole_documents=True, keep=("extra",))
+        whole.add(str(sorted(map(str, mixed.collect()))))
+    assert len(seen) == len(whole) == 1
 
 
 def test_whole_documents_and_texts(spark):
@@ -54,8 +111,16 @@ def test_whole_documents_and_texts(spark):
     whole = mixing.mix(docs, block_words=64, shard_words=2000, whole_documents=True)
     text = {r.doc_id: r.text for r in docs.collect()}
     assert all(r.text == text[r.doc_id] for r in whole.collect())
-    cut = mixing.mix(docs, block_words=64, shard_words=2000).collect()
-    assert all(len(r.text.split()) == r.n for r in cut)
+    cut = mixing.mix(docs, block_words=64, shard_words=2000)
+    assert all(len(r.text.split()) == r.n for r in cut.collect())
+    parts = cut.select(F.spark_partition_id().alias("at"), "shard", "place").collect()
+    homes = {}
+    for r in parts:
+        homes.setdefault(r.shard, set()).add(r.at)
+    assert all(len(x) == 1 for x in homes.values())
+    for shard in homes:  # whole blocks in the order of their hash
+        order = [r.place for r in parts if r.shard == shard]
+        assert order == sorted(order)
     assert mixing.mix(docs.where(F.lit(False))).count() == 0
 
 
@@ -74,38 +139,14 @@ def test_hypergeometric_draws(spark):
 
 def test_tree_keeps_quotas(spark):
     quotas = spark.createDataFrame([("a", 70), ("b", 5), (None, 26), ("c", 0)], "source string, quota long")
-    got = {r.source: r.bounds for r in mixing.splitting_tree(quotas, 8, 3).collect()}
-    assert {s: b[-1] for s, b in got.items()} == {"a": 70, "b": 5, None: 26, "c": 0}
-    per = np.diff(np.array([[0, *b] for b in got.values()]), axis=1)
-    assert (per >= 0).all() and per.sum(0).max() - per.sum(0).min() <= 1
-
-
-def line_docs(spark):
-    common = "This line is long enough to count"
-    rows = [(1, f"{common}\nown one\n{common}"), (2, f"  {common.upper()} \t\nshort"), (3, f"x\n{common}\n"), (4, "twice only, but long enough\nz"), (5, "twice only, but long enough"), (6, None), (7, ""), (8, "short\nshort"), (9, "short"), (10, "short")]
-    rows += [(3, f"x\n{common}\n"), (None, f"{common}\nnull id"), (11, "É" * 19 + "\n" + "É" * 20), (12, "É" * 20), (13, "é" * 20 + "\n" + "É" * 20), (14, "line that repeats\n" * 4000)]
-    return spark.createDataFrame([(i, t, "k", 1, 2) for i, t in rows], "doc_id long, text string, keeper string, n_lines int, h1 int")
-
-
-def test_lines_against_sql_and_odd_rows(spark):
-    df = line_docs(spark)
-    for batches in (1, 3):
-        got = sorted((r.doc_id if r.doc_id is not None else -1, r.n_lines, r.n_dropped, r.text, r.keeper, r.h1) for r in lines.dedup_lines(df, batches=batches, fanout=2).collect() if r.doc_id != 6)
-        named = {g[0]: g for g in got}
-        assert named[1][1:4] == (3, 2, "own one") and named[2][1:4] == (2, 1, "short") and named[3][1:4] == (3, 0, "x\nThis line is long enough to count\n")
-        assert named[4][2] == named[5][2] == named[9][2] == named[14][2] == 0 and named[7][1:4] == (1, 0, "")
-        assert named[-1][1:4] == (2, 1, "null id") and named[11][3] == "É" * 19 and named[12][3] == "" and named[13][3] == "é" * 20 + "\n" + "É" * 20
-        assert len(got) == 15 and named[1][4:] == ("k", 2)
-    assert lines.dedup_lines(df.where(F.lit(False))).count() == 0
-
-
-def test_runs_compact(spark):
-    runs = lines.LineRuns(spark, buckets=4, fanout=2)
-    for did in range(6, 0, -1):
-        runs.add(spark.createDataFrame([(k, k * 7, did) for k in range(10) if k % did == 0], "h1 long, h2 long, did long"))
-    assert [len(level) for level in runs.levels] == [0, 1, 1, 0][: len(runs.levels)]
-    got = {r.h1: (r.n_docs, r.keeper) for r in runs.totals().collect()}
-    assert got == {k: (sum(k % d == 0 for d in range(1, 7)), max(d for d in range(1, 7) if k % d == 0)) for k in range(10)}
+    got = mixing.splitting_tree(quotas, 8, 3).collect()
+    per, ends = Counter(), {}
+    for r in sorted(got, key=lambda r: r.shard):
+        assert r.first == ends.get(r.source, 0) < r.end
+        ends[r.source] = r.end
+        per[r.shard] += r.end - r.first
+    assert ends == {"a": 70, "b": 5, None: 26}
+    assert len(per) == 8 and max(per.values()) - min(per.values()) <= 1
 
 
 def test_sql_matches_on_duckdb(spark, tmp_path):
@@ -115,6 +156,6 @@ def test_sql_matches_on_duckdb(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from read_parquet('{path}/*.parquet')")
     got = mixing.op2_source_mix(spark, str(tmp_path))
-    names = ["doc_id", "size", "source_size", "target", "taken"]
+    names = ["doc_id", "size", "source_size", "target", "taken", "n_shards", "dealt_md5"]
     want = sorted(tuple(r) for r in con.sql(f"select {', '.join(names)} from ({mixing.OP2_SQL})").fetchall())
     assert sorted(tuple(r) for r in got.select(names).collect()) == want
