@@ -1,11 +1,16 @@
 """BPE encoding and decoding with a tokenizers vocabulary file, by tree concatenation of long text.
 
-A text is cut at white space into pieces that no token crosses, and pieces are encoded once per worker and then looked up. A long
-piece has no such place ("unsplit text"): it's halved down to leaves, the leaves are encoded on their own, in parallel when a
-document is spread over rows, and neighbours are concatenated in a tree. At each join a window around it is encoded anew and
-grown until it shares a token with the left side and one with the right side, start and end alike; what lies between them comes
-from the window, the rest from the sides. In a byte-pair encoding a sequence of tokens is the encoding of its text if every two
-neighbours are, so the joined sequence is exact.
+A text over `leaf` characters is halved, wherever that falls, down to leaves; the leaves are encoded on their own and neighbours are
+concatenated in a tree. At each join a window around it is encoded anew and grown until it begins and ends at white space, its first
+piece agrees with the left side's and its last with the right side's; what lies between them comes from the window, the rest from the
+sides. Inside a leaf, text is cut at white space into pieces that no token crosses, and pieces are encoded once per worker and then looked up.
+
+A piece over `leaf` characters has no place to cut ("unsplit text"): it's halved too, and a join's window grows until it shares a token with
+the left side and one with the right side, start and end alike. In a byte-pair encoding a sequence of tokens is the encoding of its
+text if every two neighbours are, so the joined sequence is exact. Where such a piece is longer than `part`, its leaves are rows of their own.
+
+Ids are decoded by the library, piece by piece; without a decoder, which is the only supported case, the library puts a space between any two
+tokens, so the pieces' texts are joined by spaces. A vocabulary file with other settings than those these rules hold for is refused.
 
 Defined results: null and empty texts have no tokens; literal special tokens in a text get their ids, as in the library; repeated
 rows get equal rows; an empty table gives an empty result. Columns besides doc_id and text are kept apart and ignored.
@@ -40,9 +45,34 @@ def byte_letters() -> list[str]:
 
 BYTES = byte_letters()
 SPLIT = re.compile("[\t-\r ]+")
+BLANK = re.compile("[\t-\r ]")
 #: Runs of the marks . , ; : ? ! beside ASCII or Latin-1 letters, digits and white space are tokens of their own.
 PLAIN = re.compile(r"[^\t-\r .,;:?!]+|[.,;:?!]+")
-MIXED = re.compile(r"[.,;:?!][^\t-\r .,;:?!a-z0-9À-ÖØ-öø-ÿ]|[^\t-\r .,;:?!a-z0-9À-ÖØ-öø-ÿ][.,;:?!]")
+MIXED = re.compile(r"[.,;:?!][^\t-\r .,;:?!A-Za-z0-9À-ÖØ-öø-ÿ]|[^\t-\r .,;:?!A-Za-z0-9À-ÖØ-öø-ÿ][.,;:?!]")
+
+
+#: Settings of a vocabulary file that the cuts and joins here hold for (fixed values).
+SETTINGS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "decoder": None,
+}
+MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+PLAIN_TOKEN = {"single_word": False, "lstrip": False, "rstrip": False, "normalized": False}
+
+
+def check_vocabulary(spec: dict, path: str) -> None:
+    """Raises ValueError for a file with other settings."""
+    for part, want in ((spec, SETTINGS), (spec.get("model", {}), MODEL), *((t, PLAIN_TOKEN) for t in spec.get("added_tokens", []))):
+        for k, v in want.items():
+            if part.get(k, False if v is False else None) != v:
+                raise ValueError(f"{path}: {k} is {part.get(k)!r}; tree concatenation holds for {v!r} only")
 
 
 def vocabulary_path() -> str:
@@ -127,41 +157,43 @@ class Merger:
 
 
 class Encoder:
-    """Pieces of text to their ids and tokens, both joined by a space."""
+    """Text to ids and their decoded text, both joined by a space."""
 
-    def __init__(self, path: str, leaf: int = 4096, kept: int = 250_000):
+    def __init__(self, path: str, leaf: int = 2048, kept: int = 250_000):
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            self.spec = json.load(f)
+        check_vocabulary(self.spec, path)
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
         self.leaf, self.kept, self.path = leaf, kept, path
         specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, specials)) if specials else "(?!)")
-        self._merger: Merger | None = None
+        self.merger = Merger(self.spec.pop("model"))
         self.pieces: dict[str, tuple[str, str]] = {}
+        self.joins = 0
 
-    @property
-    def merger(self) -> Merger:
-        if self._merger is None:
-            self._merger = Merger(json.load(open(self.path, encoding="utf-8"))["model"])
-        return self._merger
-
-    def cut(self, text: str) -> list[str]:
-        """text in pieces; only ASCII letters change case here, whatever else is normalised is left to the library."""
-        if self.special.search(text):
+    def cut(self, text: str, whole: bool) -> list[str]:
+        """text in pieces: `whole` ones between white space, else lowered and with marks apart. Only ASCII letters change case here, whatever
+        else is normalised is left to the library."""
+        if whole:
             return [p for p in SPLIT.split(text) if p]
-        text = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
-        return [p for p in SPLIT.split(text) if p] if MIXED.search(text) else PLAIN.findall(text)
+        return PLAIN.findall(text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass"))
+
+    def kept_whole(self, text: str) -> bool:
+        """Whether the text has marks or special tokens that must stay with what is beside them."""
+        return bool(self.special.search(text) or MIXED.search(text))
 
     def piece(self, piece: str) -> tuple[str, str]:
         if len(piece) > self.leaf:
-            return self.long_piece(piece)
-        if WORDS.fullmatch(piece):  # one unit that normalising only lowers: the model alone
-            tokens = self.library.model.tokenize("".join([BYTES[b] for b in piece.lower().encode()]))
-            return " ".join([str(t.id) for t in tokens]), " ".join([t.value for t in tokens])
-        e = self.library.encode(piece, add_special_tokens=False)
-        return " ".join(map(str, e.ids)), " ".join(e.tokens)
+            ids = self.long_piece(piece)
+        elif WORDS.fullmatch(piece):  # one unit that normalising only lowers: the model alone
+            ids = [t.id for t in self.library.model.tokenize("".join([BYTES[b] for b in piece.lower().encode()]))]
+        else:
+            ids = self.library.encode(piece, add_special_tokens=False).ids
+        return " ".join(map(str, ids)), self.library.decode(ids, skip_special_tokens=False)
 
     def units(self, piece: str) -> Iterator[tuple[str, bool]]:
         """The library's own split of a piece: units, and special tokens with True."""
@@ -175,31 +207,61 @@ class Encoder:
                 yield m[0], True
                 at = m.end()
 
-    def long_piece(self, piece: str) -> tuple[str, str]:
-        """A piece whose units may be of any length, by tree concatenation."""
+    def long_piece(self, piece: str) -> list[int]:
+        """Ids of a piece whose units may be of any length, by tree concatenation."""
         tokens: list[str] = []
         for unit, special in self.units(piece):
             tokens += [unit] if special else self.merger.concatenated([*unit[:-1], unit[-1] + "</w>"], self.leaf)
-        return " ".join(map(str, self.ids(tokens))), " ".join(tokens)
+        return self.ids(tokens)
 
     def ids(self, tokens: list[str]) -> list[int]:
         known = self.merger.ids
         return [known[t] if t in known else self.library.token_to_id(t) for t in tokens]
 
-    def encode(self, text: str | None) -> tuple[str, str]:
-        """Ids and tokens of a text, each joined by one space."""
-        cut, known = self.cut(text or ""), self.pieces
+    def encoded(self, text: str, whole: bool) -> list[tuple[str, str]]:
+        """Ids and decoded text of each piece."""
+        known = self.pieces
         if len(known) > self.kept:  # the older half goes
             for p in [*known][: self.kept // 2]:
                 del known[p]
         got = []
-        for p in cut:
+        for p in self.cut(text, whole):
             e = known.get(p)
             if e is None:
                 e = self.piece(p)
                 if len(p) <= 64:
                     known[p] = e
             got.append(e)
+        return got
+
+    def concatenated(self, text: str, low: int, high: int, whole: bool) -> list[tuple[str, str]]:
+        """encoded(text[low:high]) by tree concatenation; the result is equal."""
+        if high - low <= self.leaf:
+            return self.encoded(text[low:high], whole)
+        middle = (low + high) // 2
+        return self.join(text, low, middle, high, self.concatenated(text, low, middle, whole), self.concatenated(text, middle, high, whole), whole)
+
+    def join(self, text: str, low: int, at: int, high: int, left: list, right: list, whole: bool, window: int = 16) -> list[tuple[str, str]]:
+        """Pieces of text[low:at] and text[at:high] as those of text[low:high]."""
+        self.joins += 1
+        while True:
+            start, end = max(low, at - window), min(high, at + window)
+            if start > low:
+                m = BLANK.search(text, start, at)
+                start = m.start() if m else at
+            if end < high:
+                end = at + max((m.start() for m in BLANK.finditer(text[at:end])), default=0)
+            tail, head = len(self.cut(text[start:at], whole)), len(self.cut(text[at:end], whole))
+            if (start == low or tail) and (end == high or head):
+                inner = self.encoded(text[start:end], whole)
+                if (start == low or inner[0] == left[-tail]) and (end == high or inner[-1] == right[head - 1]):
+                    return left[: len(left) - tail] + inner + right[head:]
+            window *= 2
+
+    def encode(self, text: str | None) -> tuple[str, str]:
+        """Ids and decoded text, each joined by one space."""
+        text = text or ""
+        got = self.concatenated(text, 0, len(text), self.kept_whole(text))
         return " ".join([a for a, _ in got if a]), " ".join([b for a, b in got if a])
 
 
@@ -217,7 +279,7 @@ def decode(ids: list[int], path: str | None = None) -> str:
 
 
 def _result(doc_id, kept, tokens: list[tuple[str, str]], digest: bool, schema: T.StructType) -> pa.RecordBatch:
-    """A batch of results from ids and tokens, each joined by a space."""
+    """A batch of results from ids and decoded text, each joined by a space."""
     n = pa.array([i.count(" ") + 1 if i else 0 for i, _ in tokens], pa.int64())
     if digest:
         what = [pa.array([hashlib.sha256(x[k].encode()).hexdigest() for x in tokens], pa.string()) for k in (0, 1)]
@@ -229,8 +291,7 @@ def _result(doc_id, kept, tokens: list[tuple[str, str]], digest: bool, schema: T
 def encode_documents(docs: DataFrame, path: str | None = None, digest: bool = False, keep: tuple[str, ...] = (), part: int = 1 << 16) -> DataFrame:
     """doc_id, `keep`, n_tokens, and ids (array<int>) with decoded, or with `digest` the hashes of both.
 
-    Documents with an unsplit stretch of at least `part` characters are spread over rows, see encode_spread(). This vocabulary has no
-    decoder, so the library's decoding is the tokens joined by a space; tests hold that against it.
+    Documents with an unsplit stretch of at least `part` characters are spread over rows, see encode_spread().
     """
     at = path or vocabulary_path()
     what = (("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())) if digest else (("ids", T.ArrayType(T.IntegerType())), ("decoded", T.StringType()))
@@ -238,7 +299,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, digest: bool = Fa
     for name, kind in what:
         schema = schema.add(name, kind)
     rows = docs.select("doc_id", "text", *keep)
-    unsplit = F.coalesce((F.length("text") >= part) & F.col("text").rlike(f"{WORD[:-1]}{{{part}}}"), F.lit(False))
+    unsplit = F.coalesce((F.octet_length("text") >= part) & F.col("text").rlike(f"{WORD[:-1]}{{{part}}}"), F.lit(False))  # the pattern sees long texts only
 
     def run(batches):
         own = encoder(at)
@@ -262,7 +323,7 @@ def encode_spread(rows: DataFrame, at: str, digest: bool, keep: tuple[str, ...],
         for batch in batches:
             for row, text in zip(batch["__tl_row"].to_pylist(), batch["text"].to_pylist()):
                 out, done = [], []
-                for piece in own.cut(text):
+                for piece in own.cut(text, own.kept_whole(text)):
                     for unit, special in own.units(piece):
                         if special or len(unit) <= part:
                             done += [unit] if special else own.merger.encode([*unit[:-1], unit[-1] + "</w>"])
@@ -308,7 +369,8 @@ def encode_spread(rows: DataFrame, at: str, digest: bool, keep: tuple[str, ...],
         own = encoder(at)
         for batch in batches:
             tokens = [[t for x in (parts or []) for t in x["tokens"]] for parts in batch["__tl_parts"].to_pylist()]
-            yield _result(batch["doc_id"], [batch[k] for k in keep], [(" ".join(map(str, own.ids(t))), " ".join(t)) for t in tokens], digest, schema)
+            ids = [own.ids(t) for t in tokens]
+            yield _result(batch["doc_id"], [batch[k] for k in keep], [(" ".join(map(str, t)), own.library.decode(t, skip_special_tokens=False)) for t in ids], digest, schema)
 
     whole = parts.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("seq", "tokens"))).alias("__tl_parts"))
     return rows.drop("text").join(whole.withColumnRenamed("row", "__tl_row"), "__tl_row", "left").drop("__tl_row").mapInArrow(lean(finish, 1), schema)

@@ -22,6 +22,56 @@ def test_pieces_equal_the_library():
         assert own.encode(text) == whole(own, text), text
 
 
+@pytest.mark.parametrize("leaf", [1, 7, 40])
+def test_concatenated_texts_equal_the_library(leaf):
+    """Halved wherever it falls: inside words, marks, special tokens, letters with accents of their own and white space."""
+    own, rng = bpe.Encoder(PATH, leaf=leaf, kept=500), random.Random(leaf)
+    words = ["the", "Quick", "naïve", "e\u0301a\u0302", "it's", "don't,", "...", "a.b", "12345", "<|endoftext|>", "x<|startoftext|>y", "<|endof", "text|>", "’", "σΣ", "internationalisation", "İ", "!?"]
+    blanks = [" ", "  ", "\n", "\t \r\n", "\x1f", "\u3000", "", "\x85"]
+    for _ in range(1200):
+        text = "".join(rng.choice(words) + rng.choice(blanks) for _ in range(rng.randint(1, 60)))
+        assert own.encode(text) == whole(own, text), text
+    assert own.joins > 1200
+
+
+def test_documents_table_is_joined_and_equals_the_library(spark):
+    """The whole table at this size: the query's hashes are those of the library's ids and decoded text, and long texts are joined."""
+    sf = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    own = bpe.Encoder(PATH)
+    for r in bpe.op9_bpe(spark, sf).collect():
+        e = own.library.encode(texts[r.doc_id] or "", add_special_tokens=False)
+        assert r.n_tokens == len(e.ids) and r.ids_sha256 == hashlib.sha256(" ".join(map(str, e.ids)).encode()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(own.library.decode(e.ids, skip_special_tokens=False).encode()).hexdigest()
+    for t in texts.values():
+        own.encode(t)
+    assert own.joins == sum(inner_nodes(len(t or ""), own.leaf) for t in texts.values()) > 50
+
+
+def inner_nodes(n, leaf):
+    return 0 if n <= leaf else 1 + inner_nodes(n // 2, leaf) + inner_nodes(n - n // 2, leaf)
+
+
+def test_joins_grow_their_windows():
+    own = bpe.Encoder(PATH, leaf=64)
+    text = "start " + "word" * 40 + " middle " + "!?" * 50 + " " * 200 + "end"
+    assert own.encode(text) == whole(own, text) and own.joins > 4
+
+
+def test_other_vocabularies_are_refused(tmp_path):
+    import json
+
+    import public_tokenizers
+
+    with pytest.raises(ValueError, match="tree concatenation"):
+        bpe.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    spec = json.load(open(PATH, encoding="utf-8"))
+    for change in ({"normalizer": None}, {"decoder": {"type": "ByteLevel"}}, {"model": {**spec["model"], "end_of_word_suffix": None}}, {"added_tokens": [{**spec["added_tokens"][0], "lstrip": True}]}):
+        (tmp_path / "v.json").write_text(json.dumps({**spec, **change}))
+        with pytest.raises(ValueError, match="tree concatenation"):
+            bpe.Encoder(str(tmp_path / "v.json"))
+
+
 @pytest.mark.parametrize("leaf", [3, 8, 64])
 def test_concatenated_units_equal_the_library(leaf):
     own, rng = bpe.Encoder(PATH, leaf=leaf), random.Random(leaf)
