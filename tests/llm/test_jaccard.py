@@ -18,9 +18,9 @@ def shingle_set(text, width=4):
     return {tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))} if w else set()
 
 
-def brute(rows, percent=85):
+def brute(rows, percent=85, width=4):
     """(doc_id, n_shingles, component) by comparing every pair that shares a shingle."""
-    sets = [shingle_set(t) for _, t in rows]
+    sets = [shingle_set(t, width) for _, t in rows]
     holders, root = {}, list(range(len(rows)))
 
     def find(k):

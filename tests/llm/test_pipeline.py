@@ -50,7 +50,7 @@ def test_line_dedup(tables):
 
 
 def test_near_duplicates(tables):
-    groups = similar([(r["doc_id"], r["text"]) for r in tables[2]["rows"]])
+    groups = similar([(r["doc_id"], r["text"]) for r in tables[2]["rows"]], percent=80, width=5)
     assert sorted(r["doc_id"] for r in tables[3]["rows"]) == sorted(i for i, _, c in groups if i == c)
     before = {r["doc_id"]: str(r) for r in tables[2]["rows"]}
     assert all(before[r["doc_id"]] == str(r) for r in tables[3]["rows"])
