@@ -5,7 +5,7 @@ Every stage works on all rows its predecessor kept, and all but the last return
 1. toxicity      documents that the classifier rejects go; clean ones stay untouched
 2. line_dedup    lines that at least three documents share stay in one of them
 3. near_dups     of each group of similar documents the row with the smallest doc_id stays
-4. source_mix    whole documents, drawn to the sources' target words; a document that is taken twice gives two rows
+4. source_mix    whole documents, drawn to the sources' target words and dealt to shuffled shards; a document that is taken twice gives two rows
 5. bpe           token counts and the hashes of ids and decoded text, a row for each row of the mixture
 """
 
@@ -62,9 +62,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     own = ("doc_id", "source", "text")
-    plan = mixing.plan_mix(packed(docs, *own), whole_documents=True, keep=("text", REST))
-    taken = plan.withColumn("__tl_piece", F.explode("pieces")).where(F.col("__tl_piece.shard") >= 0)
-    return unpacked(taken, docs, *own)
+    return unpacked(mixing.mix(packed(docs, *own), whole_documents=True, keep=(REST,)), docs, *own)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
