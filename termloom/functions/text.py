@@ -1,5 +1,8 @@
 """Text analysis as column expressions: tokenizers, filters and their chains."""
 
+import sys
+from itertools import groupby
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +37,17 @@ MODEL_STOP = (
 SYMBOLS = r"[+#&.\-]"
 
 
+def letters(test) -> str:
+    """The code points that pass a test, as the inside of a character class."""
+    found = [c for c in range(sys.maxunicode + 1) if test(chr(c))]
+    runs = [[c for _, c in run] for _, run in groupby(enumerate(found), lambda x: x[1] - x[0])]
+    return "".join(f"\\x{{{r[0]:x}}}" + (f"-\\x{{{r[-1]:x}}}" if len(r) > 1 else "") for r in runs)
+
+
+#: White space and digits of any script, by Python's tables.
+SPACE, DIGIT = letters(str.isspace), letters(str.isdigit)
+
+
 def tokens(text: Column, mode: str = "alphanum") -> Column:
     """Lower-case tokens of a text in order; null and empty texts have none."""
     if mode not in PATTERNS:
@@ -53,10 +67,11 @@ def trim_apostrophes(words: Column) -> Column:
     return F.filter(F.transform(words, lambda w: F.regexp_replace(w, "['’‘]+$", "")), lambda w: w != "")
 
 
-def whitespace_tokens(text: Column, lower: bool = False, digits: bool = True) -> Column:
-    """Words between white space; without `digits`, words of digits alone go."""
-    words = F.filter(F.split(F.lower(text) if lower else text, r"\s+"), lambda w: w != "")
-    return words if digits else F.filter(words, lambda w: ~w.rlike(r"^\d+$"))
+def whitespace_tokens(text: Column, lower: bool = True, digits: bool = True) -> Column:
+    """Words between white space of any script, in lower case; without `digits`, words of digits alone go."""
+    text = F.coalesce(text, F.lit(""))
+    words = F.filter(F.split(F.lower(text) if lower else text, f"[{SPACE}]+"), lambda w: w != "")
+    return words if digits else F.filter(words, lambda w: ~w.rlike(f"^[{DIGIT}]+$"))
 
 
 def join_tokens(words: Column) -> Column:
@@ -68,8 +83,8 @@ def title_and_body(title: Column, body: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    """White space of any kind off both ends."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    """White space of any script off both ends."""
+    return F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+$", "")
 
 
 def analyze(rows: DataFrame, key: str, text: str, mode: str = "symbol", stem: bool = True) -> DataFrame:

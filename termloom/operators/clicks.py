@@ -69,11 +69,11 @@ def click_weights(post: DataFrame, edges: DataFrame, by_tf: bool = True, decimal
     return reached.join(whole, "docid").select("docid", "term", F.round(share, decimals).alias("probability"))
 
 
-def coclick_similarity(edges: DataFrame, most: int | None = None) -> DataFrame:
+def coclick_similarity(edges: DataFrame, most: int | None = 64) -> DataFrame:
     """d1, d2, s for documents with a common query, d1 < d2: the sum over those queries of 1 / (their documents).
 
     The pairs of one query grow with the square of its documents. `most`, if given, splits a query of more documents into blocks of
-    that many, pair by pair of blocks, so that no task holds them all; the pairs stay the same.
+    that many, pair by pair of blocks, so that no task holds them all; the pairs stay the same. None: no blocks.
     """
     degree = edges.groupBy("query").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     own = edges.select("query", "docid").join(degree, "query")

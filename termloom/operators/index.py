@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from termloom.sources.lineage import written
+
 
 def postings(docs: DataFrame) -> DataFrame:
     """docid, term, tf from docs (docid, tokens). Counts combine before the shuffle."""
@@ -32,7 +36,22 @@ def tf_percentiles(post: DataFrame, percents: tuple[float, ...] = (50, 75, 90, 9
     return values.select(F.posexplode("v").alias("i", "tf")).select(F.element_at(F.array(*(F.lit(float(p)) for p in percents)), F.col("i") + 1).alias("percent"), "tf")
 
 
-def rebuilt_text(post: DataFrame) -> DataFrame:
-    """docid, contents: each term as often as its tf, terms in order."""
-    per = post.groupBy("docid").agg(F.array_sort(F.collect_list(F.struct("term", "tf"))).alias("terms"))
-    return per.select("docid", F.array_join(F.flatten(F.transform("terms", lambda t: F.array_repeat(t["term"], t["tf"].cast("int")))), " ").alias("contents"))
+def rebuilt_text(post: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """docid, contents (and `by`): each term as often as its tf, terms in order."""
+    per = post.groupBy(*by, "docid").agg(F.array_sort(F.collect_list(F.struct("term", "tf"))).alias("terms"))
+    return per.select(*by, "docid", F.array_join(F.flatten(F.transform("terms", lambda t: F.array_repeat(t["term"], t["tf"].cast("int")))), " ").alias("contents"))
+
+
+@dataclass
+class Index:
+    """A stored index: postings (docid, term, tf) sorted by term, and lengths (docid, dl), both read from written tables."""
+
+    post: DataFrame
+    lengths: DataFrame
+
+    @classmethod
+    def store(cls, post: DataFrame, by: tuple[str, ...] = ()) -> Index:
+        """Write postings, of several indexes where `by` names columns that tell them apart, and the lengths that come from them."""
+        keys = [*by, "term"]
+        stored = written(post.repartition(*keys).sortWithinPartitions(*keys), "postings")
+        return cls(stored, written(stored.groupBy(*by, "docid").agg(F.sum("tf").alias("dl")), "lengths"))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from termloom.sources.lineage import written
+
 #: Coefficients of a published Chebyshev fit to erfc, from the lowest power of t.
 ERFC = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
 
@@ -17,7 +19,7 @@ def per_query(run: DataFrame, qrels: DataFrame, k: int = 10, by: tuple[str, ...]
 
     run: qid, docid, rank. qrels: qid, docid, where presence means relevant; repeated rows raise the ideal gain unless distinct_qrels.
     """
-    by = list(by)
+    by, qrels = list(by), written(qrels, "qrels")  # read twice
     counted = (qrels.distinct() if distinct_qrels else qrels).groupBy("qid").agg(F.count(F.lit(1)).alias("n_relevant"))
     nth = F.row_number().over(W.partitionBy(*by, "qid").orderBy("rank"))
     top = run.join(counted.select("qid"), "qid", "left_semi").withColumn("nth", nth).where(F.col("nth") <= k)
@@ -32,6 +34,7 @@ def per_query(run: DataFrame, qrels: DataFrame, k: int = 10, by: tuple[str, ...]
 
 def summary(run: DataFrame, qrels: DataFrame, k: int = 10, by: tuple[str, ...] = ("variant",)) -> DataFrame:
     """Mean metrics of each variant, rounded to 4; queries_evaluated counts all queries with results."""
+    run = written(run, "run")  # read twice
     each = per_query(run, qrels, k, by).groupBy(*by).agg(F.avg("rr").alias("mrr"), F.avg("ndcg").alias("ndcg"))
     all_queries = run.groupBy(*by).agg(F.countDistinct("qid").alias("queries_evaluated"))
     out = all_queries.join(each, list(by), "left")
@@ -74,9 +77,10 @@ def normal_tail(z: Column) -> Column:
 
 
 def significance(scores: DataFrame, baseline: str, alpha: float = 0.05, least: int = 10) -> DataFrame:
-    """variant, n_queries, p_mrr, p_ndcg and whether each is below alpha over the number of variants; p is null where no query differs."""
+    """variant, n_queries, p_mrr, p_ndcg (to 6 places) and whether each, unrounded, is below alpha over the number of variants; p is null where no
+    query differs."""
     n = scores.where(F.col("variant") != baseline).agg(F.countDistinct("variant").alias("n_variants"))
-    mrr, ndcg = (signed_ranks(scores, baseline, v, least).select("variant", "n_queries", F.round(normal_tail(F.col("z")), 6).alias(f"p_{name}")) for v, name in (("rr", "mrr"), ("ndcg", "ndcg")))
+    mrr, ndcg = (signed_ranks(scores, baseline, v, least).select("variant", "n_queries", normal_tail(F.col("z")).alias(f"p_{name}")) for v, name in (("rr", "mrr"), ("ndcg", "ndcg")))
     both = mrr.join(ndcg.drop("n_queries"), "variant").crossJoin(F.broadcast(n))  # n is one row
     limit = F.lit(alpha) / F.col("n_variants")
-    return both.select("variant", "n_queries", "p_mrr", "p_ndcg", (F.col("p_mrr") < limit).alias("sig_mrr"), (F.col("p_ndcg") < limit).alias("sig_ndcg"))
+    return both.select("variant", "n_queries", F.round("p_mrr", 6).alias("p_mrr"), F.round("p_ndcg", 6).alias("p_ndcg"), (F.col("p_mrr") < limit).alias("sig_mrr"), (F.col("p_ndcg") < limit).alias("sig_ndcg"))

@@ -10,7 +10,8 @@ discounted). With a_i(w) = m_i(w) - bg(w), which is zero unless the document hol
 
     sum_i m_i(w) m_i(t) = n bg(w) bg(t) + bg(w) B(t) + bg(t) A(w) + sum_i a_i(w) a_i(t)
 
-so only present terms are joined, and the product is taken once for each (query, term) and not for each document.
+so only present terms are joined, and the product is taken once for each (query, term) and not for each document. A query is its text:
+clicks of several users that share one are searched and scored once.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from termloom.sources.lineage import written
+
 FLOOR = 1e-10
 
 
@@ -37,42 +40,51 @@ def unigram_models(post: DataFrame, collection: DataFrame, lam: float = 0.6) ->
 
 
 def query_term_scores(wanted: DataFrame, terms: DataFrame, feedback: DataFrame, models: DataFrame, collection: DataFrame) -> DataFrame:
-    """qid, term, log_p: the sum of ln max(P(t | term), FLOOR) over the query's tokens.
+    """query, term, log_p: the sum of ln max(P(t | term), FLOOR) over the query's tokens.
 
-    wanted: qid, term to score. terms: qid, term, qtf of the queries. feedback: qid, docid.
+    wanted: query, term to score. terms: query, term, qtf of the queries. feedback: query, docid. Models are cut to terms that are wanted or
+    asked before they meet the feedback. A query's tokens are an array, so there's a row for each (query, term), never for each token too.
     """
-    own = feedback.join(models, "docid").select("qid", "docid", "term", "extra")
-    n = own.groupBy("qid").agg(F.countDistinct("docid").alias("n"))
-    bg = collection.select("term", "cf", "bg")
+    flags = wanted.select("query", "term", F.lit(True).alias("w"), F.lit(False).alias("t")).unionByName(terms.select("query", "term", F.lit(False).alias("w"), F.lit(True).alias("t")))
+    flags = flags.groupBy("query", "term").agg(F.bool_or("w").alias("is_wanted"), F.bool_or("t").alias("is_asked"))
+    cut = models.join(flags.select("term").distinct(), "term", "left_semi").select("docid", "term", "extra")
+    own = written(feedback.join(cut, "docid").join(flags, ["query", "term"]).select("query", "docid", "term", "extra", "is_wanted", "is_asked"), "feedback-terms")
+    n = feedback.join(models.select("docid").distinct(), "docid", "left_semi").groupBy("query").agg(F.countDistinct("docid").alias("n"))
+    bg = collection.select("term", "bg")
     # a query token that the collection lacks has a background of half an occurrence
     half = collection.select((0.5 / F.col("total")).alias("half")).limit(1)
-    asked = terms.join(bg.select("term", "bg"), "term", "left").crossJoin(F.broadcast(half)).select("qid", F.col("term").alias("t"), "qtf", F.coalesce("bg", "half").alias("bg_t"))
-    b = own.join(terms.select("qid", "term"), ["qid", "term"], "left_semi")
-    sums_b = b.groupBy("qid", F.col("term").alias("t")).agg(F.sum("extra").alias("b"))
-    w = own.join(wanted, ["qid", "term"], "left_semi")
-    sums_a = w.groupBy("qid", "term").agg(F.sum("extra").alias("a"))
-    both = w.withColumnRenamed("extra", "x").join(b.select("qid", "docid", F.col("term").alias("t"), F.col("extra").alias("y")), ["qid", "docid"])
-    sums_x = both.groupBy("qid", "term", "t").agg(F.sum(F.col("x") * F.col("y")).alias("x"))
-    grid = wanted.join(bg.select("term", "bg"), "term").join(n, "qid").join(sums_a, ["qid", "term"], "left")
-    grid = grid.select("qid", "term", "bg", "n", F.coalesce("a", F.lit(0.0)).alias("a"))
-    grid = grid.join(asked.join(sums_b, ["qid", "t"], "left"), "qid").join(sums_x, ["qid", "term", "t"], "left")
-    b0, x0 = F.coalesce("b", F.lit(0.0)), F.coalesce("x", F.lit(0.0))
-    numerator = F.col("n") * F.col("bg") * F.col("bg_t") + F.col("bg") * b0 + F.col("bg_t") * F.col("a") + x0
-    p = numerator / F.nullif(F.col("n") * F.col("bg") + F.col("a"), F.lit(0.0))
-    return grid.groupBy("qid", "term").agg(F.sum(F.col("qtf") * F.ln(F.greatest(p, F.lit(FLOOR)))).alias("log_p"))
+    asked = terms.join(bg, "term", "left").crossJoin(F.broadcast(half)).select("query", "term", "qtf", F.coalesce("bg", "half").alias("bg"))
+    present = own.where("is_asked")
+    sums = present.groupBy("query", "term").agg(F.sum("extra").alias("b"))
+    asked = asked.join(sums, ["query", "term"], "left").groupBy("query").agg(F.array_sort(F.collect_list(F.struct("term", "qtf", "bg", F.coalesce("b", F.lit(0.0)).alias("b")))).alias("asked"))
+    asked = written(asked.join(n, "query"), "asked")  # a row for each query
+    # how far each asked token is above its background in a document, in the order of the query's tokens
+    above = present.groupBy("query", "docid").agg(F.map_from_entries(F.collect_list(F.struct("term", "extra"))).alias("above")).join(asked.select("query", "asked"), "query")
+    above = above.select("query", "docid", F.transform("asked", lambda t: F.coalesce(F.try_element_at("above", t["term"]), F.lit(0.0))).alias("ys"))
+    held = own.where("is_wanted").join(above, ["query", "docid"], "left")
+    per = held.groupBy("query", "term").agg(F.sum("extra").alias("a"), F.collect_list(F.when(F.col("ys").isNotNull(), F.struct(F.col("extra").alias("x"), "ys"))).alias("docs"))
+    grid = wanted.join(bg, "term").join(asked, "query").join(per, ["query", "term"], "left")
+    grid = grid.select("query", "term", "bg", "n", "asked", F.coalesce("a", F.lit(0.0)).alias("a"), "docs")
+
+    def log_p(t, i):
+        x = F.coalesce(F.aggregate("docs", F.lit(0.0), lambda s, d: s + d["x"] * F.get(d["ys"], i)), F.lit(0.0))
+        numerator = F.col("n") * F.col("bg") * t["bg"] + F.col("bg") * t["b"] + t["bg"] * F.col("a") + x
+        return t["qtf"] * F.ln(F.greatest(numerator / F.nullif(F.col("n") * F.col("bg") + F.col("a"), F.lit(0.0)), F.lit(FLOOR)))
+
+    return grid.select("query", "term", F.aggregate(F.transform("asked", log_p), F.lit(0.0), lambda s, v: s + v).alias("log_p"))
 
 
 def query_weights(clicks: DataFrame, post: DataFrame, scores: DataFrame, collection: DataFrame, feedback: DataFrame) -> DataFrame:
-    """docid, qid, term, log_weight, doc_score, times for each document and query that led to it.
+    """docid, query, term, log_weight, doc_score, times for each document and query text that led to it.
 
-    clicks: docid, qid, times. feedback: qid, docid, score; a document outside its query's feedback has score 0.
+    clicks: docid, query, times. feedback: query, docid, score; a document outside its query's feedback has score 0.
     """
     cf = collection.select("term", "cf")
-    known = post.join(cf, "term").select("docid", "term", "cf")
+    known = post.join(clicks.select("docid").distinct(), "docid", "left_semi").join(cf, "term").select("docid", "term", "cf")
     total = known.groupBy("docid").agg(F.sum("cf").cast("double").alias("all_cf"))
-    rows = clicks.join(known, "docid").join(total, "docid").join(scores, ["qid", "term"])
-    rows = rows.join(feedback.select("qid", "docid", "score"), ["qid", "docid"], "left")
-    return rows.select("docid", "qid", "term", (F.ln(F.col("cf") / F.col("all_cf")) + F.col("log_p")).alias("log_weight"), F.coalesce("score", F.lit(0.0)).alias("doc_score"), "times")
+    rows = clicks.join(known, "docid").join(total, "docid").join(scores, ["query", "term"])
+    rows = rows.join(feedback.select("query", "docid", "score"), ["query", "docid"], "left")
+    return rows.select("docid", "query", "term", (F.ln(F.col("cf") / F.col("all_cf")) + F.col("log_p")).alias("log_weight"), F.coalesce("score", F.lit(0.0)).alias("doc_score"), "times")
 
 
 def aggregate(weights: DataFrame, strategy: str = "weighted_mean") -> DataFrame:
@@ -82,7 +94,7 @@ def aggregate(weights: DataFrame, strategy: str = "weighted_mean") -> DataFrame:
     if strategy == "max":
         out = weights.groupBy("docid", "term").agg(F.max(w).alias("weight"))
     elif strategy in ("mean", "weighted_mean"):
-        queries = weights.select("docid", "qid", "doc_score", "times").distinct()
+        queries = weights.select("docid", "query", "doc_score", "times").distinct()
         whole = queries.groupBy("docid").agg(F.sum("times").alias("n"), F.sum(F.col("doc_score") * F.col("times")).alias("all_scores"))
         share = F.col("times") / F.col("n")
         if strategy == "weighted_mean":

@@ -6,36 +6,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from termloom.operators.index import doc_stats
+from termloom.functions.text import strip, whitespace_tokens
+from termloom.operators.index import Index
 
 
 def build_topics(queries: DataFrame) -> DataFrame:
     """Distinct (qid, query) with query_toks, the counts of the query's white-space tokens."""
-    q = queries.select("qid", F.regexp_replace("query", r"^\s+|\s+$", "").alias("query")).where("query <> ''").distinct()
-    each = q.select("qid", "query", F.explode(F.split("query", r"\s+")).alias("term")).groupBy("qid", "query", "term").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    q = queries.select("qid", strip(F.col("query")).alias("query")).where("query <> ''").distinct()
+    each = q.select("qid", "query", F.explode(whitespace_tokens(F.col("query"), lower=False)).alias("term")).groupBy("qid", "query", "term").agg(F.count(F.lit(1)).cast("double").alias("n"))
     return each.groupBy("qid", "query").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("term", "n")))).alias("query_toks"))
 
 
-def bm25(post: DataFrame, terms: DataFrame, k1: float = 0.9, b: float = 0.4, k: int = 10, by: tuple[str, ...] = ()) -> DataFrame:
-    """qid, docid, score, rank (and `by`): the k best documents of each query, ties by docid as text.
+def bm25(index: Index, terms: DataFrame, k1: float = 0.9, b: float = 0.4, k: int = 10, by: tuple[str, ...] = (), key: str = "qid") -> DataFrame:
+    """key, docid, score, rank (and `by`): the k best documents of each query, ties by docid as text.
 
-    terms: one row (qid, term) for each query token; repeats multiply. post may hold several indexes told apart by the
+    terms: one row (key, term) for each query token; repeats multiply. The index may hold several, told apart by the
     columns `by`; each has its own statistics. Postings of terms that no query has are cut by a semi-join before the statistics
-    of terms are taken, so the wide side shuffles once.
+    of terms are taken. A posting's share of a score is the same for every query, so it's taken before postings meet queries.
     """
     by = list(by)
-    wanted = terms.groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    lengths = doc_stats(post) if not by else post.groupBy(*by, "docid").agg(F.sum("tf").alias("dl"))
-    whole = lengths.groupBy(*by).agg(F.count(F.lit(1)).alias("n_docs"), (F.sum("dl") / F.count(F.lit(1))).alias("avgdl"))
-    hit = post.join(wanted.select("term").distinct(), "term", "left_semi")
+    wanted = terms.groupBy(key, "term").agg(F.count(F.lit(1)).alias("qtf"))
+    whole = index.lengths.groupBy(*by).agg(F.count(F.lit(1)).alias("n_docs"), (F.sum("dl") / F.count(F.lit(1))).alias("avgdl"))
+    hit = index.post.join(wanted.select("term").distinct(), "term", "left_semi")
     df = hit.groupBy(*by, "term").agg(F.count(F.lit(1)).alias("df"))
     # one row for each index: whole is as small as the list of variants
     df = df.join(F.broadcast(whole), by) if by else df.crossJoin(F.broadcast(whole))
-    idf = F.ln(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = wanted.join(df.withColumn("idf", idf), "term")
-    rows = hit.join(weighted, [*by, "term"]).join(lengths, [*by, "docid"])
+    df = df.select(*by, "term", "avgdl", F.ln(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     tf = F.col("tf").cast("double")
-    part = F.col("qtf") * F.col("idf") * tf / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = rows.groupBy(*by, "qid", "docid").agg(F.sum(part).alias("score"))
-    best = W.partitionBy(*by, "qid").orderBy(F.round("score", 9).desc(), F.col("docid").cast("string"))
+    rows = hit.join(index.lengths, [*by, "docid"]).join(df, [*by, "term"])
+    rows = rows.select(*by, "term", "docid", (F.col("idf") * tf / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))).alias("part"))
+    scored = rows.join(wanted, "term").groupBy(*by, key, "docid").agg(F.sum(F.col("qtf") * F.col("part")).alias("score"))
+    best = W.partitionBy(*by, key).orderBy(F.round("score", 9).desc(), F.col("docid").cast("string"))
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

@@ -5,8 +5,12 @@ from __future__ import annotations
 import itertools
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from termloom.operators.index import rebuilt_text
+from termloom.sources.lineage import written
+
 
 def weight_range(weights: DataFrame) -> DataFrame:
     """One row: ln of the smallest positive probability, and the range of ln."""
@@ -20,7 +24,11 @@ def latest(weights: DataFrame, order: str) -> DataFrame:
 
 
 def scaled(weights: DataFrame, max_val: float) -> DataFrame:
-    """docid, term, scaled: 1 for the smallest probability up to max_val + 1 for the largest, evenly in ln; none at or below zero."""
+    """docid, term, scaled: 1 for the smallest probability up to max_val + 1 for the largest, evenly in ln; none at or below zero.
+
+    weights are read twice, so what they come from is written first.
+    """
+    weights = written(weights, "weights")
     one = F.broadcast(weight_range(weights))  # a single row
     v = F.when(F.col("log_range") > 0, (F.ln("probability") - F.col("log_min")) / F.nullif("log_range", F.lit(0.0)) * F.lit(float(max_val))).otherwise(F.lit(max_val / 2.0))
     return weights.where("probability > 0").crossJoin(one).select("docid", "term", (F.round(F.round(v, 9)).cast("int") + 1).alias("scaled"))
@@ -75,6 +83,7 @@ def reweighted_by_both(post: DataFrame, rlm: DataFrame, cg: DataFrame, variants:
 
 def debug_weights(post: DataFrame, mode: str, seed: int = 42) -> DataFrame:
     """docid, term, tf for checks of the chain: "constant" 1, "random" 1 to 3, "weighted_random" tf times 0.5 to 1.5, by a seeded hash."""
+    mode = mode_of(mode)
     draw = F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("docid").cast("string"), "term")), 1, 12), 16, 10).cast("bigint"), F.lit(1_000_000))
     if mode == "constant":
         tf = F.lit(1)
@@ -83,23 +92,49 @@ def debug_weights(post: DataFrame, mode: str, seed: int = 42) -> DataFrame:
     elif mode == "weighted_random":
         tf = at_least_one(F.col("tf") * (0.5 + draw / 1e6))
     else:
-        raise ValueError(f"unknown mode {mode!r}")
+        raise ValueError(f"{mode!r} is no mode without weights")
     return post.select("docid", "term", tf.alias("tf"))
 
 
-def in_traversal_order(weights: DataFrame, docs: DataFrame) -> DataFrame:
-    """traversal_idx, docid, term, probability: weights of indexed documents with the place of their document in docid order from 0.
+def traversal_order(docs: DataFrame) -> DataFrame:
+    """docid, traversal_idx: places from 0 in docid order, whatever the docids' type.
 
-    Places come from a range sort and the counts of its partitions, so no single task numbers all documents.
+    Documents are sorted range by range; a place is that inside its range plus the sizes of the ranges before, so no task numbers all.
     """
-    from pyspark.sql import Window as W
-
-    keys = docs.select("docid").distinct()
-    low, high, n = keys.agg(F.min("docid"), F.max("docid"), F.count(F.lit(1))).first()
-    width = max(1, ((high or 0) - (low or 0) + 1) // max(1, -(-n // 4096)))
-    keys = keys.withColumn("bucket", F.floor((F.col("docid") - F.lit(low or 0)) / F.lit(width)))
-    sizes = keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    offsets = sizes.select("bucket", (F.sum("n").over(W.orderBy("bucket")) - F.col("n")).alias("offset"))  # one row for 4096 documents
-    inside = keys.withColumn("nth", F.row_number().over(W.partitionBy("bucket").orderBy("docid")) - 1)
-    order = inside.join(offsets, "bucket").select("docid", (F.col("offset") + F.col("nth")).alias("traversal_idx"))
-    return weights.join(order, "docid").select("traversal_idx", "docid", "term", "probability")
+    keys = docs.select("docid").distinct().repartitionByRange("docid").sortWithinPartitions("docid")
+    numbered = written(keys.withColumn("id", F.monotonically_increasing_id()), "order")  # range number in the upper bits, place in the lower 33
+    placed = numbered.select("docid", F.shiftright("id", 33).alias("range"), F.col("id").bitwiseAND((1 << 33) - 1).alias("nth"))
+    sizes = placed.groupBy("range").agg(F.count(F.lit(1)).alias("n"))  # a row for each range
+    offsets = sizes.select("range", (F.sum("n").over(W.orderBy("range")) - F.col("n")).alias("offset"))
+    return placed.join(offsets, "range").select("docid", (F.col("offset") + F.col("nth")).alias("traversal_idx"))
+
+
+def in_traversal_order(weights: DataFrame, docs: DataFrame) -> DataFrame:
+    """traversal_idx, docid, term, probability of the weights of indexed documents; see `unplaced` for the others."""
+    return weights.join(traversal_order(docs), "docid").select("traversal_idx", "docid", "term", "probability")
+
+
+def unplaced(weights: DataFrame, docs: DataFrame) -> DataFrame:
+    """One row: how many weights, of how many documents, have no place since the index lacks the document."""
+    rest = weights.join(docs.select("docid").distinct(), "docid", "left_anti")
+    return rest.agg(F.count(F.lit(1)).alias("n_weights"), F.countDistinct("docid").alias("n_docs"))
+
+
+def rewritten_documents(docs: DataFrame, rewritten: DataFrame, variants: DataFrame) -> DataFrame:
+    """variant, docid, contents, counted for every document (docid, contents) of every variant: its terms as often as the rewritten tf
+    says; a document without terms passes through as it is and isn't counted as rewritten."""
+    texts = rebuilt_text(rewritten, ("variant",)).withColumnRenamed("contents", "rebuilt")
+    every = docs.crossJoin(F.broadcast(variants.select("variant")))  # a row for each setting
+    out = every.join(texts, ["variant", "docid"], "left")
+    return out.select("variant", "docid", F.coalesce("rebuilt", "contents").alias("contents"), F.col("rebuilt").isNotNull().alias("counted"))
+
+
+MODES = ("rlm", "cg", "combined", "constant", "random", "weighted_random")
+
+
+def mode_of(name: str) -> str:
+    """A mode's name as given on a command line, in any case."""
+    mode = name.strip().lower()
+    if mode not in MODES:
+        raise ValueError(f"unknown mode {name!r}; one of {', '.join(MODES)}")
+    return mode

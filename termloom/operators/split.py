@@ -45,3 +45,9 @@ def busiest_documents(clicks: DataFrame, corpus: DataFrame, least: int, n: int)
     """docid, n_queries of the n documents with most clicks, at least `least`."""
     counts = clicks.groupBy("docid").agg(F.count(F.lit(1)).alias("n_queries")).where(F.col("n_queries") >= least)
     return counts.join(corpus.select("docid"), "docid", "left_semi").orderBy(F.desc("n_queries"), "docid").limit(n)
+
+
+def queries_per_document(clicks: DataFrame) -> DataFrame:
+    """One row: least, most and mean number of queries of a document."""
+    per = clicks.groupBy("docid").agg(F.count(F.lit(1)).alias("n"))
+    return per.agg(F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.avg("n").alias("n_mean"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.functions.text import join_tokens, tokens
-from termloom.operators.index import postings
+from termloom.operators.index import Index, postings
 
 
 def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -25,6 +25,11 @@ def post(spark: SparkSession, sf: str) -> DataFrame:
     return postings(corpus(spark, sf))
 
 
+def index(spark: SparkSession, sf: str) -> Index:
+    """The corpus as a stored index: its texts are read and tokenized once, whatever a query takes from it."""
+    return Index.store(post(spark, sf))
+
+
 def topics(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), join_tokens(tokens(F.col("text"))).alias("query"))
 
@@ -45,8 +50,29 @@ def qrels(spark: SparkSession, sf: str, width: int = 6) -> DataFrame:
     places = split.select("docid", F.explode(F.array_distinct(F.transform(starts, lambda i: key(F.col("words"), i)))).alias("key"))
     pairs = places.join(long, "key").select("docid", "qid", "passage").join(docs, "docid")
     found = pairs.where(F.contains("text", "passage")).select("qid", "docid").distinct()
-    short = passages.where(F.size("words") < width + 2).select("qid", "passage")  # too short for a key: rare, and few rows
-    return found.unionByName(docs.join(short, F.contains("text", "passage")).select("qid", "docid"))
+    short = passages.where(F.size("words") < width + 2)
+    return found.unionByName(short_qrels(short, docs)) if short.limit(1).count() else found
+
+
+def short_qrels(passages: DataFrame, docs: DataFrame) -> DataFrame:
+    """qid, docid for passages of a few words, without a key of inner words: equi-joins on the passage itself.
+
+    Its first word may end a word of the document and its last begin one, so a document's run of as many words is cut to the first
+    word's length at the left and the last one's at the right. A passage of one word is looked for among the strings of its length
+    in distinct words. Shapes (number of words, both lengths) come from the passages.
+    """
+    shape = F.struct(F.size("words").alias("n"), F.length(F.get("words", F.lit(0))).alias("a"), F.length(F.element_at("words", -1)).alias("b"))
+    passages = passages.select("qid", "passage", shape.alias("shape"))
+    shapes = passages.select("shape").distinct().agg(F.collect_set("shape").alias("shapes"))  # lengths of words: few
+    words = docs.where("text is not null").select("docid", F.split("text", " ", -1).alias("words")).crossJoin(F.broadcast(shapes))
+    words = words.select("docid", "words", F.explode("shapes").alias("shape"))
+    n, a, b = (F.col(f"shape.{k}") for k in "nab")
+    run = lambda i: F.array_join(F.concat(F.array(F.right(F.get("words", i), a)), F.slice("words", i + 2, F.greatest(n - 2, F.lit(0))), F.array(F.left(F.get("words", i + n - 1), b))), " ")
+    places = F.when(F.size("words") >= n, F.sequence(F.lit(0), F.size("words") - n)).otherwise(F.array().cast("array<int>"))
+    parts = lambda w: F.transform(F.when(F.length(w) >= a, F.sequence(F.lit(1), F.length(w) - a + 1)).otherwise(F.array().cast("array<int>")), lambda k: F.substring(w, k, a))
+    one = F.when(a == 0, F.array(F.lit(""))).otherwise(F.flatten(F.transform(F.array_distinct("words"), parts)))
+    keys = F.array_distinct(F.when(n == 1, one).otherwise(F.transform(places, run)))
+    return words.select("docid", "shape", F.explode(keys).alias("passage")).join(passages, ["shape", "passage"]).select("qid", "docid").distinct()
 
 
 def clicks(spark: SparkSession, sf: str) -> DataFrame:

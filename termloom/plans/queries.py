@@ -13,8 +13,10 @@ from termloom.operators import relevance as R
 from termloom.operators import retrieval
 from termloom.operators import reweight as X
 from termloom.operators import split as S
+from termloom.operators.preprocess import preprocess
 from termloom.plans import inputs as D
-from termloom.sources.lineage import written
+from termloom.sources import sinks, tables
+from termloom.sources.lineage import path_of, written
 
 N_TEST, FEEDBACK, QUERIES_PER_DOC = 30, 50, 10
 ALPHAS, BETAS = [0.0, 0.25, 0.5, 0.75, 1.0], [0.0, 0.25, 0.5]
@@ -37,8 +39,10 @@ def stopword_filter(spark, sf):
 
 
 def click_tokenizer(spark, sf):
-    words = T.whitespace_tokens(F.col("text"), lower=False, digits=False)
-    return D.read(spark, sf, "documents").select(F.col("doc_id").alias("docid"), F.size(words).alias("n"))
+    """Words between white space in lower case, and those that aren't digits alone."""
+    text = F.col("text")
+    words, bare = T.whitespace_tokens(text), T.whitespace_tokens(text, digits=False)
+    return D.read(spark, sf, "documents").select(F.col("doc_id").alias("docid"), T.join_tokens(words).alias("words"), T.join_tokens(bare).alias("without_numbers"))
 
 
 def analyze_symbol_stemmed(spark, sf):
@@ -66,7 +70,7 @@ def term_stats(spark, sf):
 
 
 def collection_stats(spark, sf):
-    return rounded(I.collection_stats(D.post(spark, sf)))
+    return rounded(I.collection_stats(D.index(spark, sf).post))
 
 
 def tf_percentiles(spark, sf):
@@ -78,10 +82,9 @@ def rebuilt_text(spark, sf):
 
 
 def analyzed_corpus_rows(spark, sf):
-    title = F.regexp_extract(F.coalesce("html", F.lit("")), "<title>(.*?)</title>", 1)
-    body = T.join_tokens(T.tokens(F.col("html")))
-    rows = D.read(spark, sf, "pages").select("page_id", T.join_tokens(T.tokens(title)).alias("title"), body.alias("body"))
-    return rows.select("page_id", F.md5(T.title_and_body(F.col("title"), F.col("body"))).alias("all_md5"), F.length("title").alias("title_chars"))
+    """docid, title and body of the raw corpus, tokens joined, and both as the indexed text."""
+    rows = corpus_lines_of(spark, sf).select("docid", T.join_tokens(T.tokens(F.col("title"))).alias("title"), T.join_tokens(T.tokens(F.col("body"))).alias("body"))
+    return rows.select("docid", "title", F.md5("body").alias("body_md5"), F.md5(T.title_and_body(F.col("title"), F.col("body"))).alias("all_md5"))
 
 
 def malformed_row_filter(spark, sf):
@@ -93,12 +96,12 @@ def malformed_row_filter(spark, sf):
 
 
 def bm25_topk(spark, sf):
-    return rounded(retrieval.bm25(D.post(spark, sf), D.topic_terms(spark, sf)))
+    return rounded(retrieval.bm25(D.index(spark, sf), D.topic_terms(spark, sf)))
 
 
 def topics(spark, sf):
     built = retrieval.build_topics(D.topics(spark, sf))
-    return built.select("qid", "query", F.size("query_toks").alias("n_terms"), F.aggregate(F.map_values("query_toks"), F.lit(0.0), lambda a, x: a + x).alias("n_tokens"))
+    return built.select("qid", "query", F.explode("query_toks").alias("term", "n"))
 
 
 def qrels(spark, sf):
@@ -142,7 +145,7 @@ def busiest_documents(spark, sf):
 
 
 def baseline_run(spark, sf):
-    return retrieval.bm25(D.post(spark, sf), D.topic_terms(spark, sf)).select("qid", "docid", "rank")
+    return retrieval.bm25(D.index(spark, sf), D.topic_terms(spark, sf)).select("qid", "docid", "rank")
 
 
 def per_query_metrics(spark, sf):
@@ -176,11 +179,11 @@ def page_rank(spark, sf):
 
 
 def cg_weights(spark, sf):
-    return rounded(C.click_weights(D.post(spark, sf), train_edges(spark, sf)))
+    return rounded(C.click_weights(D.index(spark, sf).post, train_edges(spark, sf)))
 
 
 def cg_weights_uniform(spark, sf):
-    return rounded(C.click_weights(D.post(spark, sf), train_edges(spark, sf), by_tf=False))
+    return rounded(C.click_weights(D.index(spark, sf).post, train_edges(spark, sf), by_tf=False))
 
 
 def coclick_sim(spark, sf):
@@ -188,50 +191,52 @@ def coclick_sim(spark, sf):
 
 
 def coclick_topk(spark, sf):
-    return rounded(C.neighbours(C.coclick_similarity(C.two_core(train_edges(spark, sf)), most=64)))
+    return rounded(C.neighbours(C.coclick_similarity(C.two_core(train_edges(spark, sf)))))
 
 
 def cg_expand(spark, sf):
-    near = C.neighbours(C.coclick_similarity(C.two_core(train_edges(spark, sf))))
-    return C.expansion_weights(D.post(spark, sf), near)
+    near = written(C.neighbours(C.coclick_similarity(C.two_core(train_edges(spark, sf)))), "near")
+    return C.expansion_weights(D.index(spark, sf).post, near)
 
 
-def model_post(spark, sf):
+def without_stops(post: DataFrame) -> DataFrame:
     """Postings without the relevance model's stop words."""
-    return D.post(spark, sf).where(~F.col("term").isin(*T.MODEL_STOP))
+    return post.where(~F.col("term").isin(*T.MODEL_STOP))
 
 
 def collection_model(spark, sf):
-    return rounded(R.collection_model(model_post(spark, sf)).drop("total"), 9)
+    return rounded(R.collection_model(without_stops(D.post(spark, sf))).drop("total"), 9)
 
 
 def unigram_model(spark, sf):
-    p = model_post(spark, sf)
+    p = without_stops(D.index(spark, sf).post)
     return rounded(R.unigram_models(p, R.collection_model(p)).select("docid", "term", "p"), 9)
 
 
 def log_queries(log: DataFrame) -> DataFrame:
-    """qid, term of the log's distinct queries, one row for each token."""
-    return log.select("qid", "query").distinct().select("qid", F.explode(F.split("query", " ")).alias("term"))
+    """query, term of the log's distinct query texts, one row for each token."""
+    return log.select("query").distinct().select("query", F.explode(F.split("query", " ")).alias("term"))
 
 
-def feedback(spark, sf):
-    return retrieval.bm25(D.post(spark, sf), log_queries(train_split(spark, sf)), k=FEEDBACK)
+def feedback(index, log: DataFrame) -> DataFrame:
+    """Each distinct query text is searched once."""
+    return retrieval.bm25(index, log_queries(log), k=FEEDBACK, key="query")
 
 
 def feedback_docs(spark, sf):
-    return rounded(feedback(spark, sf))
+    return rounded(feedback(D.index(spark, sf), train_split(spark, sf)))
 
 
-def rlm(spark, sf) -> DataFrame:
+def rlm(spark, sf, index=None) -> DataFrame:
     log = written(train_split(spark, sf), "train")
-    p = written(model_post(spark, sf), "model-postings")
-    found = written(retrieval.bm25(D.post(spark, sf), log_queries(log), k=FEEDBACK), "feedback")
-    collection = R.collection_model(p)
-    pairs = S.first_clicks(log, QUERIES_PER_DOC).groupBy("docid", "qid").agg(F.count(F.lit(1)).alias("times"))
-    terms = log_queries(log).where(~F.col("term").isin(*T.MODEL_STOP)).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    wanted = pairs.join(p, "docid").select("qid", "term").distinct()
-    scores = R.query_term_scores(wanted, terms, found.select("qid", "docid"), R.unigram_models(p, collection), collection)
+    index = index or D.index(spark, sf)
+    found = written(feedback(index, log), "feedback")
+    p = without_stops(index.post)
+    collection = written(R.collection_model(p), "collection")
+    pairs = written(S.first_clicks(log, QUERIES_PER_DOC).groupBy("docid", "query").agg(F.count(F.lit(1)).alias("times")), "pairs")
+    terms = log_queries(log).where(~F.col("term").isin(*T.MODEL_STOP)).groupBy("query", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    wanted = written(pairs.join(p, "docid").select("query", "term").distinct(), "wanted")
+    scores = R.query_term_scores(wanted, terms, found.select("query", "docid"), R.unigram_models(p, collection), collection)
     return R.query_weights(pairs, p, scores, collection, found)
 
 
@@ -241,13 +246,13 @@ def rlm_per_query(spark, sf):
 
 def rlm_aggregated(strategy):
     def query(spark, sf):
-        return R.aggregate(rlm(spark, sf), strategy).select("docid", "term", F.round(F.ln("weight"), 6).alias("log_weight"))
+        return R.aggregate(written(rlm(spark, sf), "rlm"), strategy).select("docid", "term", F.round(F.ln("weight"), 6).alias("log_weight"))
 
     return query
 
 
-def rlm_weights(spark, sf) -> DataFrame:
-    return R.aggregate(rlm(spark, sf)).withColumnRenamed("weight", "probability")
+def rlm_weights(spark, sf, index=None) -> DataFrame:
+    return R.aggregate(written(rlm(spark, sf, index), "rlm")).withColumnRenamed("weight", "probability")
 
 
 def weight_range(spark, sf):
@@ -259,16 +264,42 @@ def scale_weights(spark, sf):
 
 
 def sorted_weights(spark, sf):
-    p = D.post(spark, sf)
+    p = D.index(spark, sf).post
     return rounded(X.in_traversal_order(C.click_weights(p, train_edges(spark, sf)), p))
 
 
+def text_ids(df: DataFrame) -> DataFrame:
+    return df.withColumn("docid", F.concat(F.lit("D"), F.col("docid").cast("string")))
+
+
+def english(spark, sf) -> DataFrame:
+    """An index that lacks documents: those in English, with text ids."""
+    return text_ids(D.read(spark, sf, "documents").where("lang = 'en'").select(F.col("doc_id").alias("docid")))
+
+
+def sorted_text_weights(spark, sf):
+    """Weights in the order of an index whose docids are text and which lacks some documents."""
+    weights = text_ids(C.click_weights(D.post(spark, sf), train_edges(spark, sf)))
+    return rounded(X.in_traversal_order(weights, english(spark, sf)))
+
+
+def unplaced_weights(spark, sf):
+    return X.unplaced(text_ids(C.click_weights(D.post(spark, sf), train_edges(spark, sf))), english(spark, sf))
+
+
+def latest_weights(spark, sf):
+    """Two versions of each weight in one table; the later one counts."""
+    p, edges = D.index(spark, sf).post, written(train_edges(spark, sf), "edges")
+    both = C.click_weights(p, edges).withColumn("line", F.lit(1)).unionByName(C.click_weights(p, edges, by_tf=False).withColumn("line", F.lit(2)))
+    return rounded(X.latest(both, "line"))
+
+
 def reweight_debug(mode):
     return lambda spark, sf: X.debug_weights(D.post(spark, sf), mode)
 
 
 def cg_variants(spark, sf) -> DataFrame:
-    p = D.post(spark, sf)
+    p = D.index(spark, sf).post
     return X.reweighted(p, X.scaled(C.click_weights(p, train_edges(spark, sf)), 10.0), X.alpha_variants(spark, "index_cg", "alphanum", 10.0, ALPHAS))
 
 
@@ -276,20 +307,29 @@ def reweight_cg_multi(spark, sf):
     return cg_variants(spark, sf)
 
 
+def rewritten_documents(spark, sf):
+    """Every document in every rewritten index; those without terms pass through."""
+    docs = D.read(spark, sf, "documents").select(F.col("doc_id").alias("docid"), F.coalesce("text", F.lit("")).alias("contents"))
+    names = X.alpha_variants(spark, "index_cg", "alphanum", 10.0, ALPHAS)
+    return X.rewritten_documents(docs, cg_variants(spark, sf), names).select("variant", "docid", F.md5("contents").alias("contents_md5"), "counted")
+
+
 def reweight_rlm_multi(spark, sf):
-    return X.reweighted(D.post(spark, sf), X.scaled(rlm_weights(spark, sf), 10.0), X.alpha_variants(spark, "index_rlm", "alphanum", 10.0, ALPHAS))
+    index = D.index(spark, sf)
+    return X.reweighted(index.post, X.scaled(rlm_weights(spark, sf, index), 10.0), X.alpha_variants(spark, "index_rlm", "alphanum", 10.0, ALPHAS))
 
 
 def reweight_combined_multi(spark, sf):
-    p = D.post(spark, sf)
+    index = D.index(spark, sf)
+    p = index.post
     cg = X.scaled(C.click_weights(p, train_edges(spark, sf)), 5.0)
     variants = X.alpha_beta_variants(spark, "alphanum", 10.0, 5.0, [0.0, 0.5, 1.0], BETAS).withColumn("variant", F.concat(F.lit("index_"), "variant"))
-    return X.reweighted_by_both(p, X.scaled(rlm_weights(spark, sf), 10.0), cg, variants)
+    return X.reweighted_by_both(p, X.scaled(rlm_weights(spark, sf, index), 10.0), cg, variants)
 
 
 def variant_runs(spark, sf) -> DataFrame:
     """Top ten of every topic in each rewritten index; lengths and means are the rewritten ones."""
-    return written(retrieval.bm25(written(cg_variants(spark, sf), "variants"), D.topic_terms(spark, sf), by=("variant",)), "runs")
+    return written(retrieval.bm25(I.Index.store(cg_variants(spark, sf), ("variant",)), D.topic_terms(spark, sf), by=("variant",)), "runs")
 
 
 def reweighted_bm25(spark, sf):
@@ -313,3 +353,185 @@ def wilcoxon_w_z(spark, sf):
 
 def significance(spark, sf):
     return M.significance(variant_scores(spark, sf), BASELINE)
+
+
+# Readers and writers: a table goes to the shared folder through a writer and comes back through a reader.
+
+
+def corpus_lines_of(spark, sf) -> DataFrame:
+    """docid, url, title, body of the raw corpus: pages, with line ends in the html as blanks."""
+    title = F.regexp_extract(F.coalesce("html", F.lit("")), "<title>(.*?)</title>", 1)
+    body = F.regexp_replace(F.coalesce("html", F.lit("")), "[\r\n]", " ")
+    return D.read(spark, sf, "pages").select(F.col("page_id").cast("string").alias("docid"), F.coalesce("url", F.lit("")).alias("url"), F.regexp_replace(title, "[\t\r\n]", " ").alias("title"), body.alias("body"))
+
+
+def raw_clicks_file(spark, sf) -> str:
+    """The click log as lines of four fields; events without a click are lines of two."""
+    events = D.read(spark, sf, "events").where("event_type <> 'click'").select(F.concat_ws("\t", "event_id", "event_type").alias("value"))
+    log = D.clicks(spark, sf).select(F.concat_ws("\t", F.col("qid").cast("string"), "query", F.col("docid").cast("string"), F.concat(F.lit("u\t"), F.col("line_no").cast("string"))).alias("value"))
+    at = path_of(spark, "raw-clicks")
+    sinks.lines(log.unionByName(events), at)
+    return at
+
+
+def raw_corpus_file(spark, sf) -> str:
+    at = path_of(spark, "raw-corpus")
+    sinks.lines(corpus_lines_of(spark, sf).select(F.concat_ws("\t", "docid", "url", "title", "body").alias("value")), at)
+    return at
+
+
+def read_raw_clicks(spark, sf):
+    return tables.raw_clicks(spark, raw_clicks_file(spark, sf))
+
+
+def read_clicked_ids(spark, sf):
+    return tables.clicked_ids(spark, raw_clicks_file(spark, sf))
+
+
+def read_raw_corpus(spark, sf):
+    return tables.raw_corpus(spark, raw_corpus_file(spark, sf)).select("docid", "url", "title", F.md5("body").alias("body_md5"))
+
+
+def read_corpus_lines(spark, sf):
+    return tables.corpus_lines(spark, raw_corpus_file(spark, sf)).select("docid", F.md5("value").alias("line_md5"))
+
+
+def counted_clicks(spark, sf):
+    """How many lines of the raw log are good and bad, observed while the good ones are written."""
+    lines = tables.text_lines(spark, raw_clicks_file(spark, sf))
+    good, seen = tables.counted(lines, F.size(F.split("value", "\t", 4)) == 4, "clicks")
+    written(good, "good-lines")
+    return spark.createDataFrame([(seen.get["n_good"], seen.get["n_bad"])], "n_good long, n_bad long")
+
+
+def clicks_after_line(spark, sf):
+    """The log from where a run stopped."""
+    return tables.after_line(D.clicks(spark, sf), 500).select("line_no", "qid", "query", "docid")
+
+
+def read_analyzed_corpus(spark, sf):
+    rows = corpus_lines_of(spark, sf).select("docid", T.join_tokens(T.tokens(F.col("title"))).alias("title"), T.join_tokens(T.tokens(F.col("body"))).alias("body"))
+    at = path_of(spark, "analyzed")
+    sinks.tab_rows(rows, at)
+    return tables.padded_rows(spark, at, tables.ANALYZED_CORPUS).select("docid", "title", F.md5("body").alias("body_md5"))
+
+
+def split_log(spark, sf) -> DataFrame:
+    """qid, query, docid, split."""
+    log = written(D.clicks(spark, sf), "log")
+    test = written(S.sample_keys(log, "qid", N_TEST), "test")
+    parts = S.held_out(log, test).withColumn("split", F.lit("test")).unionByName(S.remaining(log, test).withColumn("split", F.lit("train")))
+    return parts.select(F.col("qid").cast("string").alias("qid"), "query", F.col("docid").cast("string").alias("docid"), "split")
+
+
+def read_judgements(spark, sf):
+    at = path_of(spark, "judgements")
+    sinks.judgements(split_log(spark, sf), at)
+    return tables.stored_judgements(spark, at)
+
+
+def read_quoted_judgements(spark, sf):
+    """One split's folder, with double quotes read as quotes."""
+    at = path_of(spark, "judgements")
+    sinks.judgements(split_log(spark, sf), at)
+    return tables.quoted_rows(spark, f"{at}/split=test", tables.ANALYZED_CLICKS)
+
+
+def read_train_ids(spark, sf):
+    at = path_of(spark, "judgements")
+    sinks.judgements(split_log(spark, sf), at)
+    return tables.train_ids(spark, f"{at}/split=train")
+
+
+def read_click_graph(spark, sf):
+    at = path_of(spark, "judgements")
+    sinks.judgements(split_log(spark, sf), at)
+    return tables.click_graph_rows(spark, f"{at}/split=train")
+
+
+def read_split_ids(spark, sf):
+    at = path_of(spark, "split")
+    sinks.split_ids(S.sample_keys(D.clicks(spark, sf), "qid", N_TEST), at)
+    return tables.split_ids(spark, at)
+
+
+def json_corpus_file(spark, sf) -> str:
+    at = path_of(spark, "json")
+    sinks.json_corpus(D.read(spark, sf, "documents").select(F.col("doc_id").alias("docid"), F.coalesce("text", F.lit("")).alias("contents")), at)
+    return at
+
+
+def read_json_corpus(spark, sf):
+    return tables.json_corpus(spark, json_corpus_file(spark, sf)).select("docid", F.md5("contents").alias("contents_md5"))
+
+
+def stored_documents(spark, sf):
+    """Contents of the parts sold, as documents of the stored corpus; empty where there's none."""
+    raw = tables.text_lines(spark, json_corpus_file(spark, sf)).select(F.get_json_object("value", "$.id").alias("docid"), F.col("value").alias("raw"))
+    ids = D.read(spark, sf, "lineitem").select(F.col("l_partkey").cast("string").alias("docid")).distinct()
+    return tables.fetched(ids, raw).select("docid", F.md5("contents").alias("contents_md5"), (F.col("contents") == "").alias("empty"))
+
+
+def baseline_runs(spark, sf) -> DataFrame:
+    """The baseline's run under two names, with the topics' texts."""
+    run = retrieval.bm25(D.index(spark, sf), D.topic_terms(spark, sf)).join(D.topics(spark, sf), "qid")
+    return run.withColumn("variant", F.explode(F.array(F.lit("baseline_alphanum"), F.lit("baseline_symbol"))))
+
+
+def read_runs(spark, sf):
+    """Runs of the variants that name the tokenizer."""
+    at = path_of(spark, "runs")
+    sinks.runs(baseline_runs(spark, sf), at)
+    return rounded(tables.stored_runs(spark, at, "alphanum"))
+
+
+def read_click_weights(spark, sf):
+    """Eight decimals, with a place holder in front."""
+    at = path_of(spark, "weights")
+    sinks.weights(C.click_weights(D.index(spark, sf).post, train_edges(spark, sf)), at, 8, placeholder=True)
+    return rounded(tables.weight_rows(spark, at))
+
+
+def read_model_weights(spark, sf):
+    """Ten decimals, under a header."""
+    at = path_of(spark, "weights")
+    sinks.weights(C.click_weights(D.index(spark, sf).post, train_edges(spark, sf), by_tf=False), at)
+    return rounded(tables.weight_rows(spark, at))
+
+
+def read_sorted_weights(spark, sf):
+    at, p = path_of(spark, "weights"), D.index(spark, sf).post
+    sinks.sorted_weights(X.in_traversal_order(C.click_weights(p, train_edges(spark, sf)), p), at)
+    return rounded(tables.weight_rows(spark, at))
+
+
+def read_results(spark, sf):
+    at = path_of(spark, "results")
+    sinks.results(evaluation_summary(spark, sf), at)
+    return spark.read.csv(at, sep="\t", header=True, schema="variant string, mrr double, ndcg double, queries_evaluated long")
+
+
+def read_index(spark, sf):
+    """Postings of two rewritten indexes from their folders, cut to a term by the reader."""
+    at = path_of(spark, "index")
+    sinks.index(cg_variants(spark, sf), at, ("variant",))
+    return spark.read.parquet(at).where(F.col("variant") == BASELINE).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+
+
+def queries_per_document(spark, sf):
+    return rounded(S.queries_per_document(D.clicks(spark, sf)))
+
+
+def preprocess_clicks(spark, sf):
+    """The raw log analyzed by the symbol chain, and read back."""
+    at = path_of(spark, "preprocessed")
+    preprocess(spark, "clicks", "symbol", raw_clicks_file(spark, sf), at)
+    return tables.padded_rows(spark, at, tables.ANALYZED_CLICKS)
+
+
+def preprocess_corpus(spark, sf):
+    """The raw corpus analyzed by the alphanum chain, and read back, with the counts of lines on every row."""
+    at = path_of(spark, "preprocessed")
+    good, bad = preprocess(spark, "corpus", "alphanum", raw_corpus_file(spark, sf), at)
+    rows = tables.padded_rows(spark, at, tables.ANALYZED_CORPUS).select("docid", "title", F.md5("body").alias("body_md5"))
+    return rows.withColumns({"n_good": F.lit(good).cast("bigint"), "n_bad": F.lit(bad).cast("bigint")})

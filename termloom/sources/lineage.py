@@ -20,9 +20,14 @@ def shared_folder(spark) -> str:
     return folder.rstrip("/")
 
 
+def path_of(spark, name: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{shared_folder(spark)}/termloom/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str = "table") -> DataFrame:
     """df as a table in the shared folder: a lost executor costs a re-read, a later plan begins here."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/termloom/{name}-{uuid.uuid4().hex}"
+    path = path_of(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

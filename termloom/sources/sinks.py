@@ -32,11 +32,13 @@ def split_ids(df: DataFrame, path: str) -> None:
 
 
 def judgements(df: DataFrame, path: str, part: str = "split") -> None:
-    df.write.mode("overwrite").partitionBy(part).csv(path, sep="\t")
+    """qid, query, docid without a header, a folder for each value of `part`."""
+    df.select("qid", "query", "docid", part).write.mode("overwrite").partitionBy(part).csv(path, sep="\t")
 
 
 def runs(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").partitionBy("variant").csv(path, sep="\t", header=True)
+    """qid, query, docid, rank, score under a header, a folder for each variant."""
+    df.select("qid", "query", "docid", "rank", "score", "variant").write.mode("overwrite").partitionBy("variant").csv(path, sep="\t", header=True)
 
 
 def weights(df: DataFrame, path: str, decimals: int = 10, placeholder: bool = False) -> None:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from termloom.functions.text import strip
+
 CLICKS = ("qid", "query", "docid", "url")
 CORPUS = ("docid", "url", "title", "body")
 ANALYZED_CORPUS = ("docid", "title", "body")
@@ -62,7 +64,7 @@ def quoted_rows(spark: SparkSession, path: str, names: tuple[str, ...]) -> DataF
 
 
 def train_ids(spark: SparkSession, path: str) -> DataFrame:
-    qid = F.trim(F.get(F.split("value", "\t", -1), 0))
+    qid = strip(F.get(F.split("value", "\t", -1), 0))
     return text_lines(spark, path).select(qid.alias("qid")).where("qid <> ''").distinct()
 
 
@@ -72,18 +74,18 @@ def click_graph_rows(spark: SparkSession, path: str, most: int | None = None) ->
     lines = lines.limit(most) if most else lines
     parts = F.split("value", "\t", -1)
     checked = F.when(F.size(parts).isin(3, 4), parts).otherwise(F.raise_error(F.concat(F.lit("neither three nor four fields: "), F.col("value"))))
-    return lines.select(checked.alias("p")).select(*(F.regexp_replace(F.get("p", k), r"^\s+|\s+$", "").alias(n) for k, n in enumerate(ANALYZED_CLICKS)))
+    return lines.select(checked.alias("p")).select(*(strip(F.get("p", k)).alias(n) for k, n in enumerate(ANALYZED_CLICKS)))
 
 
 def json_corpus(spark: SparkSession, path: str) -> DataFrame:
     """docid, contents of JSON lines with id or docid, contents or text; documents without words go."""
     rows = spark.read.schema("id string, docid string, contents string, text string").json(path)
     out = rows.select(F.coalesce("id", "docid").alias("docid"), F.coalesce("contents", "text").alias("contents"))
-    return out.where(F.trim(F.regexp_replace("contents", r"\s+", " ")) != "")
+    return out.where(strip(F.col("contents")) != "")
 
 
 def split_ids(spark: SparkSession, path: str) -> DataFrame:
-    return text_lines(spark, path).select(F.trim("value").alias("qid")).where("qid <> ''")
+    return text_lines(spark, path).select(strip(F.col("value")).alias("qid")).where("qid <> ''")
 
 
 def run_files(spark: SparkSession, pattern: str, tokenizer: str) -> DataFrame:
@@ -94,11 +96,28 @@ def run_files(spark: SparkSession, pattern: str, tokenizer: str) -> DataFrame:
     return rows.where(F.array_contains(F.split("variant", "_"), tokenizer))
 
 
+def stored_runs(spark: SparkSession, path: str, tokenizer: str | None = None) -> DataFrame:
+    """variant, qid, query, docid, rank, score of runs as sinks.runs writes them, of the variants whose name names the tokenizer."""
+    rows = spark.read.option("basePath", path).csv(path, sep="\t", header=True, schema="qid string, query string, docid string, rank int, score double, variant string")
+    rows = rows.select("variant", "qid", "query", "docid", "rank", "score")
+    return rows.where(F.array_contains(F.split("variant", "_"), tokenizer)) if tokenizer else rows
+
+
+def stored_judgements(spark: SparkSession, path: str, part: str = "split") -> DataFrame:
+    """split, qid, query, docid as sinks.judgements writes them."""
+    return spark.read.option("basePath", path).csv(path, sep="\t", schema=f"qid string, query string, docid string, {part} string").select(part, *ANALYZED_CLICKS)
+
+
 def stored_contents(raw: Column) -> Column:
     """contents of a stored JSON document; the raw text where it isn't JSON, empty where there's none."""
     return F.coalesce(F.get_json_object(raw, "$.contents"), raw, F.lit(""))
 
 
+def fetched(ids: DataFrame, stored: DataFrame) -> DataFrame:
+    """docid, contents for each of ids (docid), from stored (docid, raw); "" where a document isn't stored."""
+    return ids.join(stored, "docid", "left").select("docid", stored_contents(F.col("raw")).alias("contents"))
+
+
 def weight_rows(spark: SparkSession, path: str) -> DataFrame:
     """docid, term, probability of rows of three fields, or of four with a place in front; headers and other rows go."""
     parts = F.split("value", "\t", -1)
@@ -106,8 +125,8 @@ def weight_rows(spark: SparkSession, path: str) -> DataFrame:
     rows = text_lines(spark, path).where(F.size(parts).isin(3, 4))
     at = F.size(parts) - 3
     numbered = first.rlike(r"^\s*-?\d+\s*$") | first.rlike(r"^D\d+$") | (F.size(parts) == 3)
-    probability = F.expr("try_cast(trim(get(split(value, '\\t', -1), size(split(value, '\\t', -1)) - 1)) as double)")
-    return rows.where(numbered).select(F.trim(F.get(parts, at)).alias("docid"), F.trim(F.get(parts, at + 1)).alias("term"), probability.alias("probability")).where("probability is not null")
+    probability = strip(F.get(parts, at + 2)).try_cast("double")
+    return rows.where(numbered).select(strip(F.get(parts, at)).alias("docid"), strip(F.get(parts, at + 1)).alias("term"), probability.alias("probability")).where("probability is not null")
 
 
 def after_line(lines: DataFrame, number: int, order: str = "line_no") -> DataFrame:

@@ -30,7 +30,7 @@ def test_filter_chain(spark):
     assert rows(T.analyze(english, "id", "text", "english")) == [(1, ["dog", "poni", "caress"])]
     words = spark.createDataFrame([(["a'", "’‘", "b"],)], "w array<string>").select(T.trim_apostrophes(F.col("w")))
     assert words.first()[0] == ["a", "b"]
-    spaced = spark.createDataFrame([(" A 12 b3\t",)], "t string").select(T.whitespace_tokens(F.col("t"), lower=True, digits=False), T.strip(F.col("t")))
+    spaced = spark.createDataFrame([(" A 12 b3\t",)], "t string").select(T.whitespace_tokens(F.col("t"), digits=False), T.strip(F.col("t")))
     assert tuple(spaced.first()) == (["a", "b3"], "A 12 b3")
 
 
@@ -57,12 +57,14 @@ def test_index(spark, post):
 
 def test_bm25_by_hand(spark, post):
     terms = spark.createDataFrame([(7, "a"), (7, "c"), (7, "c"), (8, "zz")], "qid long, term string")
-    got = {r.docid: (r.score, r["rank"]) for r in retrieval.bm25(post, terms).collect()}
+    stored = index.Index.store(post)
+    got = {r.docid: (r.score, r["rank"]) for r in retrieval.bm25(stored, terms).collect()}
     idf = math.log(1 + 1.5 / 2.5)
     part = lambda tf, dl: idf * tf / (tf + 0.9 * (0.6 + 0.4 * dl / 3))
     assert got[4][0] == pytest.approx(part(1, 4) + 2 * part(2, 4)) and got[4][1] == 1
     assert got[2][0] == pytest.approx(2 * part(1, 2)) and got[1][0] == pytest.approx(part(2, 3))
-    assert len(rows(retrieval.bm25(post, terms, k=1))) == 1
+    assert len(rows(retrieval.bm25(stored, terms, k=1))) == 1
+    assert rows(stored.lengths) == [(1, 3), (2, 2), (4, 4)]
 
 
 def test_topics(spark):
@@ -104,7 +106,7 @@ def test_two_core_and_similarity(spark):
 
 def test_similarity_in_blocks(spark):
     edges = spark.createDataFrame([(q, d) for q in range(3) for d in range(25) if (q + d) % 4], "query long, docid long")
-    plain = {(a, b): round(s, 9) for a, b, s in clicks.coclick_similarity(edges).collect()}
+    plain = {(a, b): round(s, 9) for a, b, s in clicks.coclick_similarity(edges, most=None).collect()}
     assert plain == {(a, b): round(s, 9) for a, b, s in clicks.coclick_similarity(edges, most=4).collect()}
 
 
@@ -152,18 +154,18 @@ def test_relevance_model_against_its_definition(spark):
             want[d, w] = z
     post = index.postings(spark.createDataFrame(list(docs.items()), "docid long, tokens array<string>"))
     collection = relevance.collection_model(post)
-    terms = spark.createDataFrame([(9, "a", 1), (9, "c", 2), (9, "zz", 1)], "qid long, term string, qtf int")
-    feedback = spark.createDataFrame([(9, d, s) for d, s in hits.items()], "qid long, docid long, score double")
-    pairs = spark.createDataFrame([(d, 9, 1) for d in clicked], "docid long, qid long, times long")
-    wanted = pairs.join(post, "docid").select("qid", "term").distinct()
-    scores = relevance.query_term_scores(wanted, terms, feedback.select("qid", "docid"), relevance.unigram_models(post, collection), collection)
+    terms = spark.createDataFrame([(9, "a", 1), (9, "c", 2), (9, "zz", 1)], "query long, term string, qtf int")
+    feedback = spark.createDataFrame([(9, d, s) for d, s in hits.items()], "query long, docid long, score double")
+    pairs = spark.createDataFrame([(d, 9, 1) for d in clicked], "docid long, query long, times long")
+    wanted = pairs.join(post, "docid").select("query", "term").distinct()
+    scores = relevance.query_term_scores(wanted, terms, feedback.select("query", "docid"), relevance.unigram_models(post, collection), collection)
     got = relevance.query_weights(pairs, post, scores, collection, feedback)
     assert {(r.docid, r.term): pytest.approx(r.log_weight) for r in got.collect()} == want
     assert {r.docid: r.doc_score for r in got.collect()} == {1: 2.0, 3: 0.5}
 
 
 def test_aggregation_strategies(spark):
-    df = spark.createDataFrame([(1, 1, "a", math.log(0.2), 3.0, 1), (1, 2, "a", math.log(0.4), 1.0, 1), (2, 1, "a", math.log(0.2), 0.0, 2), (2, 2, "a", math.log(0.5), 0.0, 1)], "docid long, qid long, term string, log_weight double, doc_score double, times long")
+    df = spark.createDataFrame([(1, 1, "a", math.log(0.2), 3.0, 1), (1, 2, "a", math.log(0.4), 1.0, 1), (2, 1, "a", math.log(0.2), 0.0, 2), (2, 2, "a", math.log(0.5), 0.0, 1)], "docid long, query long, term string, log_weight double, doc_score double, times long")
     value = lambda s: {r.docid: round(r.weight, 9) for r in relevance.aggregate(df, s).collect()}
     assert value("weighted_mean") == {1: 0.25, 2: 0.3} and value("mean") == {1: 0.3, 2: 0.3} and value("max") == {1: 0.4, 2: 0.5}
     with pytest.raises(ValueError, match="unknown aggregation"):
@@ -197,6 +199,50 @@ def test_traversal_order(spark):
     docs = spark.range(0, 20_000, 3).withColumnRenamed("id", "docid")
     weights = spark.createDataFrame([(9, "a", 0.5), (3, "b", 0.5), (4, "c", 0.5), (19_998, "d", 0.1)], "docid long, term string, probability double")
     assert rows(reweight.in_traversal_order(weights, docs)) == [(1, 3, "b", 0.5), (3, 9, "a", 0.5), (6666, 19_998, "d", 0.1)]
+    assert rows(reweight.unplaced(weights, docs)) == [(1, 1)]
+    text = lambda df: df.withColumn("docid", F.concat(F.lit("D"), F.col("docid").cast("string")))
+    names = sorted(f"D{k}" for k in range(0, 20_000, 3))
+    assert rows(reweight.in_traversal_order(text(weights), text(docs))) == sorted(((names.index(d), d, t, p) for d, t, p in [("D3", "b", 0.5), ("D9", "a", 0.5), ("D19998", "d", 0.1)]), key=str)
+    assert rows(reweight.in_traversal_order(weights, docs.where("false"))) == []
+
+
+def test_documents_without_terms_pass_through(spark, post):
+    docs = spark.createDataFrame([(1, "A a b"), (3, " ?! "), (4, "x")], "docid long, contents string")
+    names = spark.createDataFrame([("v",), ("w",)], "variant string")
+    tf = post.where("docid <> 2").crossJoin(names).select("variant", "docid", "term", (F.col("tf") + 1).cast("int").alias("tf"))
+    got = reweight.rewritten_documents(docs, tf.where("variant = 'v' or docid = 4"), names)
+    assert rows(got.where("variant = 'v'")) == [("v", 1, "a a a b b", True), ("v", 3, " ?! ", False), ("v", 4, "a a c c c d d", True)]
+    assert rows(got.where("variant = 'w'"))[:2] == [("w", 1, "A a b", False), ("w", 3, " ?! ", False)]
+    assert reweight.mode_of(" Weighted_Random ") == "weighted_random"
+
+
+def test_white_space_and_digits_of_any_script(spark):
+    line = " A\u3000b\u00a012 \u0661\u0662 x\u00b2 \u00b2\x1c7a\u2003"
+    df = spark.createDataFrame([(line,), (None,)], "t string")
+    got = df.select(T.whitespace_tokens(F.col("t")), T.whitespace_tokens(F.col("t"), digits=False), T.strip(F.col("t"))).collect()
+    words = line.lower().split()
+    assert tuple(got[0]) == (words, [w for w in words if not w.isdigit()], line.strip()) and tuple(got[1]) == ([], [], None)
+
+
+def test_significance_uses_the_unrounded_p(spark):
+    """A p that only rounding brings to the limit: at alpha just above it, it's significant."""
+    rng = [0.01 * (k * 37 % 50) for k in range(24)]
+    df = spark.createDataFrame([("b", k, x, x) for k, x in enumerate(rng)] + [("v", k, x + (0.02 if k % 3 else -0.015) * (k + 1), x) for k, x in enumerate(rng)], "variant string, qid int, rr double, ndcg double")
+    z = metrics.signed_ranks(df, "b", "rr").first().z
+    p = spark.range(1).select(metrics.normal_tail(F.lit(z))).first()[0]
+    limits = {math.nextafter(p, 1): True, math.nextafter(p, 0): False}
+    assert {a: metrics.significance(df, "b", alpha=a).first().sig_mrr for a in limits} == limits and p != round(p, 6)
+
+
+def test_short_passages_are_found(spark):
+    from termloom.plans import inputs
+
+    texts = ["some words here", "awesome wordsmith", "a b c d e f g h", "xa b c d e f gy", "", "one", None, "some  words"]
+    passages = ["some", "some words", "e w", "b c d", "a b c d e f g", "one", "s", "", "words here", "some  words", "zzz"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "docid long, text string")
+    wanted = spark.createDataFrame(list(enumerate(passages)), "qid long, passage string").withColumn("words", F.split("passage", " ", -1))
+    want = sorted((q, d) for q, p in enumerate(passages) for d, t in enumerate(texts) if t is not None and p in t)
+    assert sorted(map(tuple, inputs.short_qrels(wanted, docs).collect())) == want
 
 
 def test_split(spark):
@@ -209,3 +255,4 @@ def test_split(spark):
     assert split.first_clicks(log, 3).where("docid = 2").agg(F.max("line_no")).first()[0] == 12
     assert split.queries_of(log).where("docid = 1").first().queries[:2] == ["t1", "t6"]
     assert rows(split.busiest_documents(log, corpus, 2, 1)) == [(0, 8)]
+    assert rows(split.queries_per_document(log.where("line_no < 38"))) == [(7, 8, 7.6)]

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from termloom.operators.preprocess import preprocess
 from termloom.sources import sinks, tables
 
 
@@ -72,16 +73,52 @@ def test_run_files_by_tokenizer(spark, tmp_path):
     assert rows(got) == [("cg_symbol_a1", "q1", "x", "D1", 1, 2.5)]
 
 
-def test_writers(spark, tmp_path):
+def test_writers_read_back(spark, tmp_path):
     df = spark.createDataFrame([("b", 1, "v1"), ("a", 2, "v2")], "term string, tf int, variant string")
     sinks.index(df, str(tmp_path / "i"), ("variant",))
-    assert spark.read.parquet(str(tmp_path / "i")).where("variant = 'v1'").count() == 1
+    assert rows(spark.read.parquet(str(tmp_path / "i")).select("variant", "term", "tf")) == [("v1", "b", 1), ("v2", "a", 2)]
     sinks.split_ids(spark.createDataFrame([("q2",), ("q1",)], "qid string"), str(tmp_path / "s"))
     assert rows(tables.split_ids(spark, str(tmp_path / "s"))) == [("q1",), ("q2",)]
     sinks.lines(spark.createDataFrame([("a\tb",)], "value string"), str(tmp_path / "l"))
     assert rows(tables.text_lines(spark, str(tmp_path / "l"))) == [("a\tb",)]
     sinks.sorted_weights(spark.createDataFrame([(1, "D2", "x", 0.5), (0, "D1", "y", 0.1)], "traversal_idx long, docid string, term string, probability double"), str(tmp_path / "t"))
-    assert tables.weight_rows(spark, str(tmp_path / "t")).count() == 2
-    sinks.runs(df, str(tmp_path / "r"))
-    sinks.judgements(df.withColumnRenamed("variant", "split"), str(tmp_path / "j"))
+    assert rows(tables.weight_rows(spark, str(tmp_path / "t"))) == [("D1", "y", 0.1), ("D2", "x", 0.5)]
+    files = sorted((tmp_path / "t").glob("part-*"))
+    assert [x.split("\t")[0] for f in files for x in f.read_text().splitlines() if not x.startswith("traversal")] == ["0", "1"]
+    found = spark.createDataFrame([("cg_symbol", "q1", "a b", "D1", 1, 2.5), ("base_alphanum", "q1", "a b", "D2", 1, 0.5)], "variant string, qid string, query string, docid string, rank int, score double")
+    sinks.runs(found, str(tmp_path / "r"))
+    assert rows(tables.stored_runs(spark, str(tmp_path / "r"))) == sorted(rows(found)) and rows(tables.stored_runs(spark, str(tmp_path / "r"), "symbol")) == [("cg_symbol", "q1", "a b", "D1", 1, 2.5)]
+    judged = spark.createDataFrame([("q1", "a b", "D1", "test"), ("q2", "c", "D2", "train")], "qid string, query string, docid string, split string")
+    sinks.judgements(judged, str(tmp_path / "j"))
+    assert rows(tables.stored_judgements(spark, str(tmp_path / "j"))) == [("test", "q1", "a b", "D1"), ("train", "q2", "c", "D2")]
     sinks.results(df, str(tmp_path / "e"))
+    assert rows(spark.read.csv(str(tmp_path / "e"), sep="\t", header=True, schema=df.schema)) == rows(df) and len(list((tmp_path / "e").glob("part-*"))) == 1
+    sinks.tab_rows(spark.createDataFrame([("D1", "", 'a "b', None)], "a string, b string, c string, d string"), str(tmp_path / "tab"))
+    assert [f.read_text() for f in (tmp_path / "tab").glob("part-*") if f.stat().st_size] == ['D1\t\ta "b\t\n']
+
+
+def test_ids_are_stripped_of_any_white_space(spark, tmp_path):
+    at = put(tmp_path / "ids", "\u3000q1\u00a0\tx\n \t\n\x1fq2\n")
+    assert rows(tables.train_ids(spark, at)) == [("q1",), ("q2",)]
+    assert rows(tables.split_ids(spark, put(tmp_path / "split", "\u2003q1 \n\u3000\n"))) == [("q1",)]
+
+
+def test_fetched_documents(spark):
+    stored = spark.createDataFrame([("D1", '{"contents": "x"}'), ("D2", "plain")], "docid string, raw string")
+    ids = spark.createDataFrame([("D1",), ("D2",), ("D3",)], "docid string")
+    assert rows(tables.fetched(ids, stored)) == [("D1", "x"), ("D2", "plain"), ("D3", "")]
+
+
+def test_preprocess(spark, tmp_path):
+    log = put(tmp_path / "log", "q1\tThe Running dogs\tD1\tu\nq2\tthe of\tD1\tu\nbad\tline\nq3\tC++ the.\tD2\tu\textra\nq4\tThe Running dogs\tD3\tu\n")
+    out = str(tmp_path / "out")
+    assert preprocess(spark, "clicks", "symbol", log, out) == (3, 2)
+    assert rows(tables.padded_rows(spark, out, tables.ANALYZED_CLICKS)) == [("q1", "run dog", "D1"), ("q3", "c++ the.", "D2"), ("q4", "run dog", "D3")]
+    docs = put(tmp_path / "docs", "D1\tu\tThe Dogs\tRunning\tfar\nD1\tu\t\tthe\nbad\n")
+    assert preprocess(spark, "corpus", "alphanum", docs, out) == (2, 1)
+    assert rows(tables.padded_rows(spark, out, tables.ANALYZED_CORPUS)) == [("D1", "", ""), ("D1", "dog", "run far")]
+    assert preprocess(spark, "corpus", "alphanum", docs, out) == (2, 1) and tables.padded_rows(spark, out, tables.ANALYZED_CORPUS).count() == 2
+    with pytest.raises(ValueError, match="unknown dataset"):
+        preprocess(spark, "other", "symbol", docs, out)
+    with pytest.raises(ValueError, match="unknown tokenizer"):
+        preprocess(spark, "corpus", "other", docs, out)
