@@ -23,6 +23,17 @@ SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Bytes of an Arrow batch that goes to Python; Spark's own default, which counts as unset, is 64 MB for each task and worker.
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4m")
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts are long, so a batch of Spark's default size costs more memory than all else that a worker holds."""
+    key, default, own = BATCH
+    if spark.conf.get(key) == default:
+        spark.conf.set(key, own)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; on a local session that names none, a temporary folder of its own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -48,6 +59,7 @@ def drop(spark: SparkSession, path: str) -> None:
 def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """df as a table in the shared folder, and its path for drop()."""
     spark = df.sparkSession
+    small_batches(spark)
     path = scratch(spark, name)
     df.write.parquet(path)
     spark._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files of plans that have ended
@@ -94,4 +106,5 @@ def maybe_in(rows: DataFrame, key: str, keys: DataFrame, bits: int = 1 << 23) ->
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

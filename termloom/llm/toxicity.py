@@ -7,7 +7,8 @@ log odds in the sample; everything is then trained with Adam. A held-back fold o
 the labels' base rate, and for each language the threshold with the best F1 (languages with few toxic rows share one).
 
 Training runs on the driver on a bounded sample of labelled rows: at most `per_class` rows a label, of at most `sample_chars` code
-points each, chosen by a hash of doc_id. Scoring reads every whole text, in blocks of words, so a text's length isn't limited.
+points each, chosen by a hash of doc_id. The sample is written, read in parts, and kept as one number for each word. Scoring reads every whole
+text, in blocks of words, so a text's length isn't limited.
 
 Defined results: null and empty texts get the score of a text without words; unlabelled rows and null labels don't train; without
 rows of both labels each score is the base rate; repeated rows score alike; an empty table gives an empty result; a null
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from termloom.llm.shared import lean, table
+from termloom.llm.shared import drop, lean, materialize, table
 
 WORDS = re.compile(r"\w+")
 FOLDS, HELD_OUT, CALIBRATION = 4, 2, 3
@@ -57,16 +58,37 @@ class Words:
 
     def __call__(self, text: str | None) -> np.ndarray:
         """Row numbers from 1, one line for each word of the text."""
-        words = WORDS.findall((text or "").lower())
         if len(self.at) > self.kept:
             self.clear()
+        at = self.numbers(text)  # may make the table longer
+        return self.table[at]
+
+    def numbers(self, text: str | None) -> np.ndarray:
+        """Places in the cache's table, one for each word of the text."""
+        words = WORDS.findall((text or "").lower())
         for w in set(words):
             if w not in self.at:
                 n = self.at[w] = len(self.at)
                 if n == len(self.table):
                     self.table = np.concatenate([self.table, np.zeros_like(self.table)])
                 self.table[n] = word_rows(w, self.rows)
-        return self.table[np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))]
+        return np.fromiter(map(self.at.__getitem__, words), np.int32, len(words))
+
+
+class Sample:
+    """Texts as places in the table of their words' rows."""
+
+    def __init__(self, words: Words, texts: list[np.ndarray]):
+        self.words, self.texts = words, texts
+
+    def __len__(self) -> int:
+        return len(self.texts)
+
+    def __getitem__(self, k: int) -> np.ndarray:
+        return self.words.table[self.texts[k]]
+
+    def part(self, chosen: Iterable[int]) -> Sample:
+        return Sample(self.words, [self.texts[k] for k in chosen])
 
 
 @dataclass
@@ -81,7 +103,7 @@ class Classifier:
     thresholds: dict = field(default_factory=dict)
     params: dict = field(default_factory=dict)
 
-    def start(self, texts: list[np.ndarray], toxic: np.ndarray) -> None:
+    def start(self, texts: Sample, toxic: np.ndarray) -> None:
         rng = np.random.default_rng(self.seed)
         counts = np.full((2, self.rows), 0.5)
         for ids, y in zip(texts, toxic):
@@ -126,7 +148,7 @@ class Classifier:
         best += bias
         return np.where(best > 0, best, LEAK * best).ravel(), where
 
-    def train(self, texts: list[np.ndarray], toxic: np.ndarray, epochs: int = 5, batch: int = 64, rate: float = 0.003) -> None:
+    def train(self, texts: Sample, toxic: np.ndarray, epochs: int = 5, batch: int = 64, rate: float = 0.003) -> None:
         self.start(texts, toxic)
         rng, p = np.random.default_rng(self.seed), self.params
         mean, square, step = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}, 0
@@ -207,7 +229,7 @@ def fold(doc_id: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS))
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, sample_chars: int = 200_000, seed: int = 5) -> Classifier | float:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, sample_chars: int = 50_000, seed: int = 5) -> Classifier | float:
     """A trained and calibrated Classifier, or the base rate where the labels have one class only."""
     usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (fold() != HELD_OUT)).select("doc_id", F.col("toxic").cast("int").alias("__tl_toxic"))
     counts = {r["__tl_toxic"]: r["n"] for r in usable.groupBy("__tl_toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -219,27 +241,30 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, sample_char
         picked = part if picked is None else picked.unionByName(part)
     # bounded by 2 * per_class rows of a number each
     sample = docs.select("doc_id", "text", "lang").where(F.length("text") <= sample_chars).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "lang", "__tl_toxic", fold().alias("fold"))
-    rows = sorted(sample.toArrow().to_pylist(), key=lambda r: (r["doc_id"], r["text"] or ""))
+    written, path = materialize(sample.repartition(16), "sample")
     model = Classifier(seed=seed)
-    words = Words(model.rows)
-    ids = [words(r["text"]) for r in rows]
-    toxic = np.array([r["__tl_toxic"] for r in rows], np.float64)
-    fit, rest = (np.array([k for k, r in enumerate(rows) if (r["fold"] == CALIBRATION) == c], int) for c in (False, True))
+    words, rows = Words(model.rows), []
+    for r in written.toLocalIterator():  # one part at a time
+        rows.append((r["doc_id"], zlib.crc32((r["text"] or "").encode("utf-8", "surrogatepass")), r["__tl_toxic"], r["fold"], r["lang"], words.numbers(r["text"])))
+    drop(docs.sparkSession, path)
+    rows.sort(key=lambda r: r[:2])
+    toxic = np.array([r[2] for r in rows], np.float64)
+    every = Sample(words, [r[5] for r in rows])
+    fit, rest = (np.array([k for k, r in enumerate(rows) if (r[3] == CALIBRATION) == c], int) for c in (False, True))
     if len({*toxic[fit]}) < 2 or len({*toxic[rest]}) < 2:
         fit = rest = np.arange(len(rows))
     if len({*toxic}) < 2:
         return counts[1] / (counts[0] + counts[1])
-    model.train([ids[k] for k in fit], toxic[fit])
+    model.train(every.part(fit), toxic[fit])
     ratio = counts[1] / counts[0] / (toxic.sum() / (1 - toxic).sum())
-    model.calibrate(model.logits([ids[k] for k in rest]), toxic[rest], [rows[k]["lang"] for k in rest], float(np.log(ratio)))
+    model.calibrate(model.logits(every[k] for k in rest), toxic[rest], [rows[k][4] for k in rest], float(np.log(ratio)))
     return model
 
 
 def score_documents(docs: DataFrame, model: Classifier | float, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, `keep`, score, and rejected: whether the score reaches its language's threshold. lang picks the threshold alone.
-
-    keep mustn't name a column score or rejected.
-    """
+    """doc_id, `keep`, score, and rejected: whether the score reaches its language's threshold. lang picks the threshold alone."""
+    if clash := {"doc_id", "score", "rejected"} & set(keep):
+        raise ValueError(f"keep names {', '.join(sorted(clash))}, which the result has of its own")
     schema = T.StructType([docs.schema[c] for c in ("doc_id", *keep)]).add("score", T.DoubleType()).add("rejected", T.BooleanType())
     held = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -127,8 +127,14 @@ def write_pages(pages: DataFrame, min_bytes: int = 0, archive_bytes: int = 16 <<
     folder = scratch(spark, "warc")
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload")).withColumn("digest", F.sha1("payload"))
     long_enough = F.length("payload") >= min_bytes
-    again = rows.where(long_enough).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
-    rows = rows.join(again, "digest", "left").withColumn("first", F.when(long_enough, F.col("first"))).select("page_id", "url", "payload", "first")
+    again = rows.where(long_enough).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    again, _ = materialize(again, "repeated")
+    # payloads of over a thousandth of all repeated pages, hence under a thousand: their pages stay where they are
+    hot = F.col("n") * 1000 > (again.agg(F.sum("n")).first()[0] or 0)
+    often = F.broadcast(again.where(hot).select("digest", F.col("first").alias("hot_first")))
+    rows = rows.join(often, "digest", "left").withColumn("key", F.when(F.col("hot_first").isNull(), F.col("digest")).otherwise(F.concat("digest", F.lit(":"), F.xxhash64("page_id", "url").cast("string"))))
+    rare = again.where(~hot).select(F.col("digest").alias("key"), F.col("first").alias("rare_first"))
+    rows = rows.join(rare, "key", "left").withColumn("first", F.when(long_enough, F.coalesce("hot_first", "rare_first"))).select("page_id", "url", "payload", "first")
 
     def write(batches):
         task, held, count = TaskContext.get(), [], 0

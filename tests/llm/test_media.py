@@ -29,6 +29,32 @@ def test_documents_against_brute_force(spark):
         assert by_text.setdefault(docs[r.doc_id], r.feature) == r.feature
 
 
+def brute_feature(text):
+    """Shape, channel means and the bits of an 8 x 8 average hash, sample by sample with exact fractions."""
+    from fractions import Fraction
+
+    data = (text or "").encode()
+    data += b" " * (-len(data) % 192 if data else 192)
+    rows = len(data) // 192
+    means = [Fraction(sum(data[c::3]), rows * 64) for c in range(3)]
+    light = [[299 * data[192 * y + 3 * x] + 587 * data[192 * y + 3 * x + 1] + 114 * data[192 * y + 3 * x + 2] for x in range(64)] for y in range(rows)]
+    cells = []
+    for i in range(8):
+        a = min(i * rows // 8, rows - 1)
+        b = max((i + 1) * rows // 8, a + 1)
+        cells += [Fraction(sum(light[y][x] for y in range(a, b) for x in range(8 * j, 8 * j + 8)), b - a) for j in range(8)]
+    bits = "".join("1" if c > sum(cells) / 64 else "0" for c in cells)
+    return f"64x{rows};" + ",".join(f"{float(m):.4f}" for m in means) + f";{int(bits, 2):016x}"
+
+
+def test_features_against_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = queries()["op7_media"](spark, sf).collect()
+    assert len(got) == len(texts) and all(r.feature == brute_feature(texts[r.doc_id]) for r in got)
+    assert all(media.feature(media.from_media(media.to_media(t))[2]) == brute_feature(t) for t in (None, "a", "x" * 5000, "é\n" * 800))
+
+
 def test_odd_rows(spark):
     texts = [None, "", "x" * 192, "x" * 193, "é" * 400_000, "x" * 192, "\x00\r\nP6"]
     docs = spark.createDataFrame([*((i, t, 1) for i, t in enumerate(texts)), (None, "n", 1), (2, "x" * 192, 1)], "doc_id long, text string, name int")

@@ -62,3 +62,45 @@ def test_one_class_and_empty(spark):
     got = toxicity.score_documents(docs, model)
     assert got.where("rejected or score <> 0").count() == 0
     assert toxicity.score_documents(docs.where(F.lit(False)), toxicity.train(docs.where(F.lit(False)), labels)).count() == 0
+
+
+def brute_score(model, text):
+    """The network written out word by word: hashed rows, every filter at every place, the largest response, one logit."""
+    import math
+    import re
+
+    words = re.findall(r"\w+", (text or "").lower())
+    emb = model.params["emb"].astype(float)
+    vectors = []
+    for w in words:
+        parts = [w, f"3:{w[:3]}", f"4:{w[:4]}", f"5:{w[:5]}"]
+        vectors.append(sum(emb[1 + zlib.crc32(p.encode("utf-8", "replace")) % (len(emb) - 1)] for p in parts))
+    zero = np.zeros(emb.shape[1])
+    z, lane = float(model.params["bias"][0]), 0
+    for width in (1, 2, 3):
+        f, b = model.params[f"f{width}"].astype(float), model.params[f"b{width}"].astype(float)
+        for k in range(f.shape[2]):
+            best = -math.inf
+            for at in range(len(words) + 1):  # the place past the last word sees padding alone
+                window = [(vectors[at + j] if at + j < len(words) else zero) for j in range(width)]
+                best = max(best, sum(float(v @ f[j, :, k]) for j, v in enumerate(window)))
+            best += b[k]
+            z += float(model.params["out"][lane]) * (best if best > 0 else 0.1 * best)
+            lane += 1
+    return 1 / (1 + math.exp(-(model.slope * z + model.shift)))
+
+
+def test_scores_against_the_network_written_out(spark):
+    docs, labels = corpus(spark)
+    model = toxicity.train(docs, labels)
+    some = docs.where("doc_id < 60 or doc_id in (400, 401)")
+    for r in some.join(toxicity.score_documents(some, model).select("doc_id", F.col("score").alias("got")), "doc_id").collect():
+        assert abs(brute_score(model, r.text) - r.got) < 1e-5, r.doc_id
+    with np.testing.assert_raises(ValueError):
+        toxicity.score_documents(docs, model, keep=("score",))
+
+
+def test_training_repeats(spark):
+    docs, labels = corpus(spark)
+    one, two = (toxicity.train(docs.repartition(n), labels, sample_chars=300) for n in (1, 5))
+    assert all((one.params[k] == two.params[k]).all() for k in one.params) and one.thresholds == two.thresholds

@@ -36,6 +36,20 @@ def test_odd_rows_round_trip(spark):
     assert warc.read_pages(warc.write_pages(pages.where(F.lit(False)))).count() == 0
 
 
+def test_hot_payloads_stay_where_they_are(spark):
+    """A third of all pages share a payload, and many pairs share others: the same records whatever the way of the join."""
+    pages = spark.range(3000).select(F.col("id").alias("page_id"), F.concat(F.lit("u"), "id").alias("url"), F.when(F.col("id") % 3 == 1, "hot").otherwise(F.concat(F.lit("p"), (F.col("id") % 1500).cast("string"))).alias("html"))
+    got = warc.read_pages(warc.write_pages(pages), payloads=False).collect()
+    first = {}
+    for r in pages.orderBy("page_id").collect():
+        first.setdefault(r.html, r.page_id)
+    html = {r.page_id: r.html for r in pages.collect()}
+    assert len(got) == 3000
+    for r in got:
+        f = first[html[r.page_id]]
+        assert (r.record_type, r.refers_to) == (("response", None) if f == r.page_id else ("revisit", f))
+
+
 def test_archive_layout(tmp_path):
     records = [warc.record(i, f"http://h/{i}", f"<html><body>page {i} {'lorem ipsum ' * (i % 7)}</body></html>".encode() * 3, None, False, "2000-01-01T00:00:00Z") for i in range(500)]
     path = f"file://{tmp_path}/a/x.warc.zst"
