@@ -110,6 +110,13 @@ class ByteRange(InputPartition):
         self.path, self.begin, self.end = path, begin, end
 
 
+class Ranges(InputPartition):
+    """What one task reads: one range, or several where a range for each task would make too many tasks."""
+
+    def __init__(self, ranges: list[ByteRange]):
+        self.ranges = ranges
+
+
 class ArchiveSource(DataSource):
     """spark.read.format("termloom_archive").option("path", folder): all members of the folder's listed archives."""
 
@@ -128,28 +135,37 @@ class ArchiveReader(DataSourceReader):
     def __init__(self, options: dict):
         self.folder = options["path"]
         self.range_bytes = int(options.get("rangebytes", options.get("rangeBytes", 8 << 20)))
+        self.most = int(options.get("maxpartitions", options.get("maxPartitions", 20_000)))
         self.batch_bytes = int(options.get("batchbytes", options.get("batchBytes", 4 << 20)))
         self.retries = int(options.get("retries", 3))
         self.onerror = options.get("onerror", options.get("onError", "fail"))
 
-    def partitions(self) -> list[ByteRange]:
+    def partitions(self) -> list[Ranges]:
         import pyarrow.dataset as ds
 
         store, at = fs.FileSystem.from_uri(f"{self.folder}/list")
         found = ds.dataset(at, filesystem=store, format="parquet").to_table(["path", "bytes"]).to_pylist() if store.get_file_info(at).type != fs.FileType.NotFound else []
-        cuts = [(a["path"], k, min(k + self.range_bytes, a["bytes"])) for a in sorted(found, key=lambda a: a["path"]) for k in range(0, a["bytes"], self.range_bytes)]
-        return [ByteRange(*c) for c in cuts] or [ByteRange("", 0, 0)]
-
-    def read(self, part: ByteRange) -> Iterator[pa.RecordBatch]:
+        step = max(self.range_bytes, -(-sum(a["bytes"] for a in found) // self.most))  # large ranges, so each directory is read few times
+        cuts = [ByteRange(a["path"], k, min(k + step, a["bytes"])) for a in sorted(found, key=lambda a: a["path"]) for k in range(0, a["bytes"], step)]
+        parts, size = [], step
+        for c in cuts:
+            if size + c.end - c.begin > step:
+                parts.append(Ranges([]))
+                size = 0
+            parts[-1].ranges.append(c)
+            size += c.end - c.begin
+        return parts or [Ranges([])]
+
+    def read(self, part: Ranges) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
-        if part.path:
-            for row in self.members(part):
+        for own in part.ranges:
+            for row in self.members(own):
                 rows.append(row)
                 size += len(row["media"] or b"")
                 if size >= self.batch_bytes:
                     yield self.batch(rows)
                     rows, size = [], 0
-        if rows or not part.path:
+        if rows or not part.ranges:
             yield self.batch(rows)
 
     @staticmethod

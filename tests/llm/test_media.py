@@ -65,6 +65,22 @@ def test_odd_rows(spark):
     assert media.media_features(media.read_media(spark, media.store_texts(docs.where(F.lit(False))))).count() == 0
 
 
+def test_ranges_are_packed(spark):
+    """Each byte in one range, and no more tasks than asked for, give or take one for each archive that a range doesn't fill."""
+    docs = spark.createDataFrame([(i, f"text {i} " * (1 + i % 90)) for i in range(300)], "doc_id long, text string").repartition(5)
+    folder = media.store_texts(docs, archive_bytes=20_000)
+    sizes = {r.path: r.bytes for r in spark.read.parquet(f"{folder}/list").collect()}
+    for options in ({"rangeBytes": "100"}, {"rangeBytes": "100", "maxPartitions": "3"}, {}):
+        parts = media.ArchiveReader({"path": folder, **options}).partitions()
+        seen = {}
+        for part in parts:
+            for r in part.ranges:
+                assert r.begin == seen.get(r.path, 0)
+                seen[r.path] = r.end
+        assert seen == sizes and ("maxPartitions" not in options or len(parts) <= 6)
+        assert media.media_features(media.read_media(spark, folder, **options)).count() == 300
+
+
 def test_one_bad_member_leaves_the_others(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"text {i} " * 50) for i in range(40)], "doc_id long, text string").coalesce(1)
     folder = media.store_texts(docs)
