@@ -2,8 +2,9 @@
 
 A line's quote level is the number of `>` in its leading marks. A passage is a run of lines of one level without blank lines between
 them; passages are compared after white space is folded and A-Z lowered, by a 128-bit hash. A quoted passage's original is the
-latest earlier message of the conversation that holds it as a passage or a line of its own. A message replies to the original of
-its first passage of the least level that has one. Threads come from doubling the reply pointers, so their number of rounds is the
+latest earlier message of the conversation that holds it as a passage or a line of its own. A quote of several lines that is no whole passage
+("trimmed") is looked for by its pairs of neighbouring lines: where one message is the latest earlier holder of all of them, that's its
+original. A message replies to the original of its first passage of the least level that has one. Threads come from doubling the reply pointers, so their number of rounds is the
 logarithm of the longest chain. In a conversation ordered by (thread_turn, turn) threads are contiguous and replies follow what they
 reply to.
 
@@ -45,31 +46,43 @@ def own_text(text: Column) -> Column:
     return F.when(text.rlike(HAS_QUOTE), F.array_join(kept, "\n")).otherwise(F.coalesce(text, F.lit("")))
 
 
-def passages(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Passages (message, level, pos, key) and own lines (message, key) of distinct messages."""
+def passages(messages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Passages (message, level, pos, key), own lines (message, key) and neighbouring lines of a passage (message, level, pos of the passage, key)
+    of distinct messages."""
     lines = messages.select(*MESSAGE, F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     lines = lines.select(*MESSAGE, "pos", quote_level(F.col("line")).alias("level"), normalised(F.regexp_replace("line", MARKS, "")).alias("key"))
     run = F.col("pos") - F.row_number().over(W.partitionBy(*MESSAGE, "level", F.col("key") == "").orderBy("pos"))
-    runs = lines.withColumn("run", run).where("key <> ''").groupBy(*MESSAGE, "level", "run")
+    inside = lines.withColumn("run", run).where("key <> ''")
     parts = F.transform(F.array_sort(F.collect_list(F.struct("pos", "key"))), lambda x: x["key"])
-    return runs.agg(F.min("pos").alias("pos"), F.array_join(parts, " ").alias("key")).drop("run"), lines.where("level = 0 and key <> ''").select(*MESSAGE, "key")
+    whole = inside.groupBy(*MESSAGE, "level", "run").agg(F.min("pos").alias("pos"), F.array_join(parts, " ").alias("key")).drop("run")
+    near = W.partitionBy(*MESSAGE, "level", "run").orderBy("pos")
+    pairs = inside.select(*MESSAGE, "level", F.first("pos").over(near).alias("pos"), F.concat("key", F.lit("\n"), F.lead("key").over(near)).alias("key")).where("key is not null")
+    return whole, lines.where("level = 0 and key <> ''").select(*MESSAGE, "key"), pairs
+
+
+def latest_holders(said: DataFrame, quoted: DataFrame) -> DataFrame:
+    """quoted (message, level, pos, key) with original: the latest earlier turn of the conversation in said (conv_id, turn, key)."""
+    hashes = (F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("passage"), F.col("key")).alias("h2"))
+    said = said.select("conv_id", *hashes, "turn").distinct().select("*", F.lit(None).cast("bigint").alias("th"), F.lit(0).alias("level"), F.lit(0).alias("pos"), F.lit(1).alias("kind"))
+    both = said.unionByName(quoted.select("conv_id", *hashes, "turn", "th", "level", "pos", F.lit(0).alias("kind")))
+    before = W.partitionBy("conv_id", "h1", "h2").orderBy("turn", "kind").rowsBetween(W.unboundedPreceding, 0)
+    return both.withColumn("original", F.max(F.when(F.col("kind") == 1, F.col("turn"))).over(before)).where("kind = 0").select(*MESSAGE, "level", "pos", "original")
 
 
 def reply_links(messages: DataFrame) -> DataFrame:
     """conv_id, turn, th, n_quotes, n_linked, parent_turn of every distinct message with quotes."""
     usable = messages.where(F.col("conv_id").isNotNull() & F.col("turn").isNotNull() & F.col("text").isNotNull())
     quoting = usable.where(F.col("text").rlike(HAS_QUOTE)).select("conv_id").distinct()
-    found, lines = passages(usable.join(quoting, "conv_id", "left_semi").dropDuplicates(MESSAGE))
-    hashes = (F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("passage"), F.col("key")).alias("h2"))
-    said = found.where("level = 0").select("conv_id", "turn", "key").unionByName(lines.select("conv_id", "turn", "key"))
-    said = said.select("conv_id", *hashes, "turn").distinct().select("*", F.lit(None).cast("bigint").alias("th"), F.lit(0).alias("level"), F.lit(0).alias("pos"), F.lit(1).alias("kind"))
-    quoted = found.where("level > 0").select("conv_id", *hashes, "turn", "th", "level", "pos", F.lit(0).alias("kind"))
-    both = said.unionByName(quoted)
-    before = W.partitionBy("conv_id", "h1", "h2").orderBy("turn", "kind").rowsBetween(W.unboundedPreceding, 0)
-    both = both.withColumn("original", F.max(F.when(F.col("kind") == 1, F.col("turn"))).over(before))
-    per = both.where("kind = 0").groupBy(*MESSAGE)
+    found, lines, pairs = passages(usable.join(quoting, "conv_id", "left_semi").dropDuplicates(MESSAGE))
+    own = found.where("level = 0").select("conv_id", "turn", "key").unionByName(lines.select("conv_id", "turn", "key"))
+    quoted = latest_holders(own, found.where("level > 0"))
+    passage = [*MESSAGE, "level", "pos"]
+    held = latest_holders(pairs.where("level = 0").select("conv_id", "turn", "key"), pairs.where("level > 0")).groupBy(*passage)
+    one = (F.min("original") == F.max("original")) & (F.count("original") == F.count(F.lit(1)))
+    trimmed = held.agg(F.when(one, F.max("original")).alias("trimmed"))
+    quoted = quoted.join(trimmed, passage, "left").withColumn("original", F.coalesce("original", "trimmed"))
     order = F.when(F.col("original").isNotNull(), F.struct("level", "pos"))
-    return per.agg(F.count(F.lit(1)).alias("n_quotes"), F.count("original").alias("n_linked"), F.min_by("original", order).alias("parent_turn"))
+    return quoted.groupBy(*MESSAGE).agg(F.count(F.lit(1)).alias("n_quotes"), F.count("original").alias("n_linked"), F.min_by("original", order).alias("parent_turn"))
 
 
 def threads(links: DataFrame) -> DataFrame:
@@ -127,9 +140,21 @@ WITH RECURSIVE m AS (
   SELECT p.conv_id, p.turn, p.text, p.level, p.pos, max(said.turn) AS original
   FROM p LEFT JOIN said ON p.conv_id = said.conv_id AND p.key = said.key AND said.turn < p.turn
   WHERE p.level > 0 GROUP BY p.conv_id, p.turn, p.text, p.level, p.pos
+), n AS (
+  SELECT conv_id, turn, text, level, min(pos) OVER w AS pos, key || chr(10) || lead(key) OVER w AS key, pos AS at_pos FROM r WHERE key <> ''
+  WINDOW w AS (PARTITION BY conv_id, turn, text, level, run ORDER BY pos)
+), h AS (
+  SELECT a.conv_id, a.turn, a.text, a.level, a.pos, a.at_pos, max(b.turn) AS original
+  FROM n a LEFT JOIN n b ON b.level = 0 AND a.conv_id = b.conv_id AND a.key = b.key AND b.turn < a.turn
+  WHERE a.level > 0 AND a.key IS NOT NULL GROUP BY ALL
+), trimmed AS (
+  SELECT conv_id, turn, text, level, pos, max(original) AS original FROM h GROUP BY conv_id, turn, text, level, pos HAVING count(original) = count(*) AND min(original) = max(original)
+), q2 AS (
+  SELECT q.conv_id, q.turn, q.text, q.level, q.pos, coalesce(q.original, trimmed.original) AS original
+  FROM q LEFT JOIN trimmed ON q.conv_id = trimmed.conv_id AND q.turn = trimmed.turn AND q.text = trimmed.text AND q.level = trimmed.level AND q.pos = trimmed.pos
 ), links AS (
   SELECT conv_id, turn, text, count(*) AS n_quotes, count(original) AS n_linked, arg_min(original, level * 1000000000 + pos) FILTER (original IS NOT NULL) AS parent_turn
-  FROM q GROUP BY conv_id, turn, text
+  FROM q2 GROUP BY conv_id, turn, text
 ), up AS (
   SELECT conv_id, turn, min(parent_turn) AS up FROM links WHERE parent_turn IS NOT NULL GROUP BY conv_id, turn
 ), walk(conv_id, turn, far, depth) AS (

@@ -23,6 +23,14 @@ ROWS = [
     (None, 5, "user", "> elsewhere"),
     (3, None, "user", "> x\ny"),
     (3, 1, "user", "y"),
+    (5, 0, "user", "l1\nl2\nl3\n\nl5"),
+    (5, 1, "user", "> l1\n> l2\ntrimmed at the end"),
+    (5, 2, "user", "> L2\n>  l3\ntrimmed in front"),
+    (5, 3, "user", "> l1\n> l3\nnot neighbours"),
+    (5, 4, "user", "l2\nl3\nl4"),
+    (5, 5, "user", "> l1\n> l2\n> l3\n> l4\nfrom two messages"),
+    (5, 6, "user", "> l2\n> l3\nthe later of two"),
+    (5, 7, "user", ">> nobody said this\n> trimmed at the end\n>> l3\n>> l4\nlevels"),
     (4, 0, "user", "ok\n" * 3000),
     (4, 1, "user", "> ok\n" * 3000),
 ]
@@ -42,6 +50,12 @@ def test_links_and_threads(spark):
     assert order == sorted(order)
 
 
+def test_trimmed_quotes_and_unknown_levels(spark):
+    df = spark.createDataFrame([(*r, 7, "x") for r in ROWS if r[0] == 5], "conv_id long, turn long, role string, text string, level int, key string")
+    got = {r.turn: (r.n_quotes, r.n_linked, r.parent_turn) for r in quotes.link_conversations(df).collect()}
+    assert got == {0: (0, 0, None), 1: (1, 1, 0), 2: (1, 1, 0), 3: (1, 0, None), 4: (0, 0, None), 5: (1, 0, None), 6: (1, 1, 4), 7: (3, 2, 1)}
+
+
 def test_sql_twin_on_quotes(spark, tmp_path):
     path = str(tmp_path / "conversations.parquet")
     spark.createDataFrame(ROWS, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(path)
