@@ -159,7 +159,7 @@ class Merger:
 class Encoder:
     """Text to ids and their decoded text, both joined by a space."""
 
-    def __init__(self, path: str, leaf: int = 2048, kept: int = 250_000):
+    def __init__(self, path: str, leaf: int = 2048, kept: int = 120_000):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:

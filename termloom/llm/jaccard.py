@@ -242,7 +242,7 @@ def similar_documents(docs: DataFrame, **options) -> DataFrame:
     return similar_rows(docs, **options).drop("row", "component")
 
 
-def similar_rows(docs: DataFrame, width: int = 4, percent: int = 85, block_shingles: int = 1 << 20, block_docs: int = 2048, seed: int = 1) -> DataFrame:
+def similar_rows(docs: DataFrame, width: int = 4, percent: int = 85, block_shingles: int = 1 << 21, block_docs: int = 2048, seed: int = 1) -> DataFrame:
     """As similar_documents, with row (row_hash) and component, which tells components apart where doc_ids are null or repeat."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
 
@@ -291,7 +291,7 @@ def similar_rows(docs: DataFrame, width: int = 4, percent: int = 85, block_shing
                     sigs.append(x)
                     of.append(np.full(len(x), node))
                     total += len(x)
-                if total > 1 << 19:
+                if total > 1 << 20:
                     yield from flush()
                     sigs, of, total = [], [], 0
         if sigs:
