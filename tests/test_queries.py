@@ -39,7 +39,7 @@ def plan(df):
 def test_plans(spark):
     top = plan(QUERIES["bm25_topk"](spark, SF))
     assert "WindowGroupLimit" in top and "CartesianProduct" not in top
-    assert "ReadSchema: struct<doc_id:bigint,text:string>" in top
+    assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan(QUERIES["postings"](spark, SF))
     clicks = plan(QUERIES["click_edges"](spark, SF))
     assert "PushedFilters: [IsNotNull(event_type), EqualTo(event_type,click)" in clicks
     for name in ("tokens_symbol", "cg_weights", "unigram_model", "reweight_cg_multi", "per_query_metrics"):
