@@ -20,9 +20,24 @@ def shared_folder(spark) -> str:
     return folder.rstrip("/")
 
 
+#: Paths that this process gave out, by application.
+GIVEN: dict[str, list[str]] = {}
+
+
 def path_of(spark, name: str) -> str:
     """A path in the shared folder that nothing else uses."""
-    return f"{shared_folder(spark)}/termloom/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/termloom/{name}-{uuid.uuid4().hex}"
+    GIVEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clean(spark) -> int:
+    """Remove what this application wrote to the shared folder, once its results are safe elsewhere; the number of paths removed."""
+    paths = GIVEN.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return len(paths)
 
 
 def written(df: DataFrame, name: str = "table") -> DataFrame:

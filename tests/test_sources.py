@@ -1,8 +1,10 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 from termloom.operators.preprocess import preprocess
-from termloom.sources import sinks, tables
+from termloom.sources import lineage, sinks, tables
 
 
 def put(path, text):
@@ -122,3 +124,11 @@ def test_preprocess(spark, tmp_path):
         preprocess(spark, "other", "symbol", docs, out)
     with pytest.raises(ValueError, match="unknown tokenizer"):
         preprocess(spark, "corpus", "other", docs, out)
+
+
+def test_written_tables_are_removed(spark):
+    lineage.clean(spark)
+    kept = lineage.written(spark.range(5), "kept")
+    assert kept.count() == 5 and len(kept.inputFiles()) > 0
+    where = kept.inputFiles()[0].removeprefix("file://")
+    assert os.path.exists(where) and lineage.clean(spark) == 1 and not os.path.exists(where) and lineage.clean(spark) == 0
