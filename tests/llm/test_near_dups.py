@@ -3,15 +3,9 @@
 import random
 
 import corpus_pipeline
-from tests.llm import test_jaccard
 from tests.llm.test_jaccard import brute, corpus, shingle_set
 
 
-def stage_brute(rows, monkeypatch):
-    monkeypatch.setattr(test_jaccard, "shingle_set", lambda text: shingle_set(text, 5))
-    return brute(rows, 80)
-
-
 def test_pair_between_the_thresholds(spark):
     """86/106 on five words, 89/105 on four."""
     words = [f"w{k}" for k in range(100)]
@@ -22,10 +16,10 @@ def test_pair_between_the_thresholds(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect()) == [1, 3]
 
 
-def test_stage_against_brute_force(spark, monkeypatch):
+def test_stage_against_brute_force(spark):
     rows = {i: t for i, t in corpus(random.Random(3)) if i is not None}
     df = spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(5)
-    want = sorted(i for i, _, c in stage_brute(list(rows.items()), monkeypatch) if i == c)
+    want = sorted(i for i, _, c in brute(list(rows.items()), 80, 5) if i == c)
     assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect()) == want
 
 
