@@ -4,9 +4,9 @@ A document is the set of its distinct word shingles; documents with equal sets a
 100 * intersection >= percent * union. The join is exact:
 
 1. Shingles are hashed into m groups, m above the largest symmetric difference D that linked sets of a size class can have. At most
-   D groups differ, so linked sets have an equal group that isn't empty: each set sends a hash of every group to a bucket. A set with so
-   many empty groups that this count fails sends its empty groups as well, to buckets of such sets alone. A task combines its own
-   rows of a bucket before the shuffle; sets of a bucket are chained, and components of the chains are the candidate clusters.
+   D groups differ, so linked sets have equal groups, more than a set has groups of one shingle or none: each set sends a hash of every
+   larger group to a bucket. Where that count fails, it also sends its groups of one shingle, and where that fails its empty ones. A task
+   combines its own rows of a bucket before the shuffle; sets of a bucket are chained, and components of the chains are the candidate clusters.
 2. Inside a cluster the group counts of each set are a point, and points go into an R-tree. The sum of coordinate minima of a
    point and a node's upper corner bounds the overlap with every set below it; nodes and points whose bound can't reach the
    threshold are left out, and all survivors are verified by intersecting the shingles. Clusters with many shingles
@@ -83,7 +83,7 @@ class SizeClasses:
             top = high - 1
             d = self.most_apart(top, top * 100 // self.percent)
             own = self.most_apart(n, n * 100 // self.percent) if n < high else self.most_apart(top, n)
-            out.append((low, d + 3 + d // 50, own))
+            out.append((low, d + 3 + d // 10, own))
         return out
 
 
@@ -96,10 +96,11 @@ def signatures(s: np.ndarray, classes: SizeClasses) -> np.ndarray:
         lo = np.bincount(of, (value & U(0xFFFFFFFF)).astype(np.float64), groups)  # sums below 2^53 are exact
         hi = np.bincount(of, (value >> U(32)).astype(np.float64), groups)
         n = np.bincount(of, minlength=groups)
-        empty = n == 0
         rows = np.arange(groups)
-        if groups - apart - int(empty.sum()) >= 1:
-            rows = rows[~empty]
+        for few in (1, 0):  # equal groups have equal counts, so both sets keep or leave out the same of them
+            if groups - apart - int((n <= few).sum()) >= 1:
+                rows = rows[n > few]
+                break
         key = (hi[rows].astype(U) << U(32)) + lo[rows].astype(U) + n[rows].astype(U) * U(0x9E3779B97F4A7C15)
         found.append(mix(key + mix(rows.astype(U) * U(0xD6E8FEB86659FD93) + U(low))))
     return np.concatenate(found) if found else np.zeros(0, U)
@@ -242,7 +243,7 @@ def similar_documents(docs: DataFrame, **options) -> DataFrame:
     return similar_rows(docs, **options).drop("row", "component")
 
 
-def similar_rows(docs: DataFrame, width: int = 4, percent: int = 85, block_shingles: int = 1 << 21, block_docs: int = 2048, seed: int = 1) -> DataFrame:
+def similar_rows(docs: DataFrame, width: int = 4, percent: int = 85, block_shingles: int = 1 << 21, block_docs: int = 8192, seed: int = 1) -> DataFrame:
     """As similar_documents, with row (row_hash) and component, which tells components apart where doc_ids are null or repeat."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
 
