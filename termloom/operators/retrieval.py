@@ -33,8 +33,9 @@ def bm25(index: Index, terms: DataFrame, k1: float = 0.9, b: float = 0.4, k: int
     df = df.join(F.broadcast(whole), by) if by else df.crossJoin(F.broadcast(whole))
     df = df.select(*by, "term", "avgdl", F.ln(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     tf = F.col("tf").cast("double")
-    rows = hit.join(index.lengths, [*by, "docid"]).join(df, [*by, "term"])
+    rows = hit.join(df, [*by, "term"]).join(index.lengths, [*by, "docid"])
     rows = rows.select(*by, "term", "docid", (F.col("idf") * tf / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))).alias("part"))
-    scored = rows.join(wanted, "term").groupBy(*by, key, "docid").agg(F.sum(F.col("qtf") * F.col("part")).alias("score"))
+    # postings are dealt by document once; where the queries' terms are few enough for Spark to broadcast, sums and group limits stay in place
+    scored = rows.repartition(*by, "docid").join(wanted, "term").groupBy(*by, key, "docid").agg(F.sum(F.col("qtf") * F.col("part")).alias("score"))
     best = W.partitionBy(*by, key).orderBy(F.round("score", 9).desc(), F.col("docid").cast("string"))
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
