@@ -15,7 +15,9 @@ number made from it, and a round needs no numbering of sorted pairs. Doubling fr
    bytes covers it, and all but the earliest of equal pairs are repeated.
 
 A task settles its own equal pairs before the shuffle, so a passage that a third of all documents share reaches the sort once for
-each task. Sorted rows are streamed without holding a rank's rows; in step 3 a rank with over `block` runs is dealt by window.
+each task. Sorted rows are streamed without holding a rank's rows. In step 3 a rank with over `block` runs goes through rounds of its own first:
+the windows of a run are halved by their distance to the sampled position, and each half gets the rank of the string that all of its windows
+would share, 66 bytes in the first round, 83 in the next, and so on up to all 100. What is unique or has a single pair leaves in each round.
 
 Defined results: null and empty texts have no bytes; texts under `length` bytes lose nothing; among rows of one doc_id the order is that
 of their texts' hashes, rows that agree in both count as one document and get the same result; null doc_ids come first; an empty table
@@ -214,6 +216,53 @@ def utf8(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
+PARTS = "h bigint, did bigint, run bigint, near int, far int, bytes binary"
+PART = pa.schema([("h", pa.int64()), ("did", pa.int64()), ("run", pa.int64()), ("near", pa.int32()), ("far", pa.int32()), ("bytes", pa.binary())])
+
+
+def parts_of(batch: pa.RecordBatch, ranges: list[tuple[int, int]], first: int, length: int) -> pa.RecordBatch:
+    """The parts of runs whose windows' distances to the sampled position lie in each range, with the rank of the string that all windows
+    of the range share, the pair with the part's own rank, and the part's bytes."""
+    h, did, run, near, far = (batch[k].to_numpy() for k in ("h", "did", "run", "near", "far"))
+    data = [x.as_buffer() for x in batch["bytes"]]
+    sizes = np.array([len(x) for x in data])
+    place = np.cumsum(sizes) - sizes + (far.astype(np.int64))  # of the sampled positions in the joined bytes
+    ranks = doubled(np.frombuffer(b"".join(data), np.uint8), first)
+    out = []
+    for a, b in ranges:
+        k = np.flatnonzero((near <= b) & (far >= a))
+        if not len(k):
+            continue
+        lo, hi = np.maximum(near[k], a).astype(np.int64), np.minimum(far[k], b).astype(np.int64)
+        key = run_ranks(ranks, first, place[k] - a, np.full(len(k), length - (b - a)))
+        key = mix(key + U((a * 1024 + b) * 2 + 1) * U(PLACES[4])) ^ mix(h[k].view(U))
+        start, size = place[k] - hi, hi - lo + length
+        pair = mix(run_ranks(ranks, first, start, size) + hi.astype(U) * U(PLACES[2]))
+        begin = (run[k] >> SHIFT) + far[k] - hi
+        cut = [bytes(data[i][int(far[i] - x) : int(far[i] - x) + int(n)]) for i, x, n in zip(k.tolist(), hi.tolist(), size.tolist())]
+        out.append(pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(pair.view(np.int64)), pa.array(did[k]), pa.array(begin << SHIFT | (hi - lo)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(cut, pa.binary())], ["h", "pair", *PART.names[1:]]))
+    return pa.Table.from_batches(out).combine_chunks().to_batches()[0]
+
+
+def halved(hot: DataFrame, ranges: list[tuple[int, int]], first: int, length: int) -> tuple[DataFrame, DataFrame]:
+    """did, run of the parts of hot runs that repeat an equal part as a whole, and the first part of each pair of a rank with several pairs."""
+
+    def split(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield parts_of(batch, ranges, first, length)
+
+    parts, _ = materialize(hot.mapInArrow(lean(split), PARTS.replace("did", "pair bigint, did", 1)), "parts")
+    pairs = parts.groupBy("h", "pair").agg(F.min(F.struct("did", "run")).alias("head"), F.count(F.lit(1)).alias("times"))
+    pairs, _ = materialize(pairs, "pairs")
+    several = pairs.groupBy("h").agg(F.count(F.lit(1)).alias("pairs")).where("pairs > 1").select("h")
+    again = pairs.where("times > 1").select("h", "pair", "head")
+    done = parts.join(again, ["h", "pair"]).where(F.struct("did", "run") != F.col("head")).select("did", "run")
+    heads = pairs.join(several, "h", "left_semi").select("h", F.col("head.did").alias("did"), F.col("head.run").alias("run"), "pair")
+    open_parts = parts.join(heads, ["h", "pair", "did", "run"], "left_semi").dropDuplicates(["h", "pair", "did", "run"]).select(*PART.names)
+    return materialize(done, "repeats")[0], materialize(open_parts, "open-parts")[0]
+
+
 def find_repeats(rows: DataFrame, length: int, first: int, block: int) -> DataFrame:
     """did, runs: all window starts of a document (did, text) that start earlier, as packed runs."""
 
@@ -252,35 +301,44 @@ def find_repeats(rows: DataFrame, length: int, first: int, block: int) -> DataFr
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["h", "did", "run", "bytes"])
 
-    few = open_runs.join(many, "h", "left_anti")
-    contexts = texts_with(few).mapInArrow(lean(context), "h bigint, did bigint, run bigint, bytes binary")
-    inner = map_groups(contexts, ["h"], lambda g: repeats_in_rank(g, length), "did bigint, run bigint", pa.schema([("did", pa.int64()), ("run", pa.int64())]))
+    contexts = texts_with(open_runs).mapInArrow(lean(context), "h bigint, did bigint, run bigint, bytes binary")
+    contexts, _ = materialize(contexts, "contexts")  # whole texts are shuffled once, whatever the number of runs of a rank
+    inner = map_groups(contexts.join(many, "h", "left_anti"), ["h"], lambda g: repeats_in_rank(g, length), "did bigint, run bigint", pa.schema([("did", pa.int64()), ("run", pa.int64())]))
     found.append(materialize(inner, "repeats")[0])
 
     if many.limit(1).count():
 
-        def windows(batches):
-            own = Settler()
+        def locate(batches):
+            """The distances from the sampled position to a run's first and last window."""
             for batch in batches:
-                for did, text, runs in zip(batch["did"].to_pylist(), batch["text"], batch["runs"].to_pylist()):
-                    data = np.frombuffer(utf8(text.as_py()), np.uint8)
-                    for r in runs:
-                        start, more = r["run"] >> SHIFT, r["run"] & ((1 << SHIFT) - 1)
-                        a, b = window_ranks(data[start : start + more + length], length)
-                        at = start + np.arange(more + 1)
-                        yield from own.add(a, b, did, at, at)
-            yield from own.flush()
-
-        dealt = texts_with(open_runs.join(many, "h", "left_semi")).mapInArrow(lean(windows), ROW)
-        dealt = dealt.repartition("h").sortWithinPartitions(*sorted_by).mapInArrow(lean(settle, None), ROW).where("done").select("did", "run")
-        found.append(materialize(dealt, "repeats")[0])
+                runs, at = batch["run"].to_numpy(), []
+                for h, data in zip(batch["h"].to_numpy().view(U), batch["bytes"]):
+                    at.append(int(np.argmax(doubled(np.frombuffer(data.as_buffer(), np.uint8), first) == h)))  # the leftmost is the sampled one
+                far = np.array(at, np.int32)
+                yield pa.RecordBatch.from_arrays([batch["h"], batch["did"], batch["run"], pa.array(far - (runs & ((1 << SHIFT) - 1)).astype(np.int32)), pa.array(far), batch["bytes"]], PART.names)
+
+        hot = contexts.join(many, "h", "left_semi").mapInArrow(lean(locate), PARTS)
+        low, high = 0, length - first  # the range of distances
+        ranges = [(low, high)]
+        while True:
+            ranges = [half for a, b in ranges for half in ((a, (a + b) // 2), ((a + b) // 2 + 1, b)) if half[0] <= half[1]]
+            done, hot = halved(hot, ranges, first, length)
+            found.append(done)
+            sizes = hot.groupBy("h").agg(F.count(F.lit(1)).alias("times"))
+            large = sizes.where(F.col("times") > block)
+            few = hot.join(large, "h", "left_anti").select("h", "did", "run", "bytes")
+            inner = map_groups(few, ["h"], lambda g: repeats_in_rank(g, length), "did bigint, run bigint", pa.schema([("did", pa.int64()), ("run", pa.int64())]))
+            found.append(materialize(inner, "repeats")[0])
+            if max(b - a for a, b in ranges) == 0 or not large.limit(1).count():  # windows of one distance are whole strings, which halved() settles
+                break
+            hot = hot.join(large, "h", "left_semi")
     runs = found[0]
     for more in found[1:]:
         runs = runs.unionByName(more)
     return runs.groupBy("did").agg(F.collect_list("run").alias("runs"))
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, first: int = 32, block: int = 20_000, digest: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, first: int = 32, block: int = 8_000, digest: bool = False) -> DataFrame:
     """docs with n_bytes, n_removed, n_spans, and kept (binary: the bytes that stay) or with `digest` kept_sha256."""
     spark = docs.sparkSession
     plain, hashed = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))), F.xxhash64(F.coalesce("text", F.lit("")))
