@@ -1,6 +1,7 @@
 """What the costly steps of queries over postings leave out of their plans, and that results stay whole."""
 
 from pyspark.sql import functions as F
+from termloom.operators import index, reweight
 from termloom.plans import inputs, queries
 
 SF = "/root/testdata/sf0.01"
@@ -16,3 +17,30 @@ def test_only_clicked_documents_are_tokenized(spark):
     assert {r.docid for r in post.select("docid").distinct().collect()} == {r.docid for r in clicked.collect()}
     assert post.exceptAll(inputs.post(spark, SF)).count() == 0
     assert inputs.indexed(spark, SF).exceptAll(inputs.post(spark, SF).select("docid").distinct()).count() == 0
+
+
+def test_whole_texts_are_dealt_and_tokenized_once(spark):
+    text = plan(inputs.post(spark, SF))
+    assert text.count("Exchange") == 1 and text.count("regexp_extract_all") == 1
+
+
+def test_rewritten_documents_side_by_side(spark):
+    texts = [(1, "b a b"), (2, "c a"), (3, "?"), (4, "a")]
+    docs = spark.createDataFrame([(d, x, [t for t in x.split() if t != "?"]) for d, x in texts], "docid long, contents string, tokens array<string>")
+    post = index.postings(docs)
+    weights = spark.createDataFrame([(1, "a", 3), (4, "a", 2)], "docid long, term string, scaled int")
+    wide = reweight.reweighted_side_by_side(post.where("docid in (1, 4)"), weights, [0.0, 1.0])
+    got = reweight.rewritten_side_by_side(docs, wide, ["v0", "v1"])
+    assert sorted(map(tuple, got.select("variant", "docid", "contents", "counted").collect())) == [
+        ("v0", 1, "a a a b b", True), ("v0", 2, "a c", True), ("v0", 3, "?", False), ("v0", 4, "a a", True),
+        ("v1", 1, "a b b", True), ("v1", 2, "a c", True), ("v1", 3, "?", False), ("v1", 4, "a", True),
+    ]
+
+
+def test_all_clicks_of_a_document_count(spark):
+    """rlm_per_query takes more than the first ten queries of a document."""
+    log = queries.train_split(spark, SF)
+    times = queries.rlm_per_query(spark, SF).select("docid", "query", "times").distinct()
+    want = log.groupBy("docid").agg(F.count(F.lit(1)).alias("n")).join(inputs.indexed(spark, SF), "docid")
+    got = times.groupBy("docid").agg(F.sum("times").alias("n"))
+    assert want.where("n > 10").count() and got.count() and got.join(want.withColumnRenamed("n", "all"), "docid").where("n <> all").count() == 0
