@@ -1,6 +1,7 @@
 """What the costly steps of queries over postings leave out of their plans, and that results stay whole."""
 
 from pyspark.sql import functions as F
+from termloom.functions import text
 from termloom.operators import index, reweight
 from termloom.plans import inputs, queries
 
@@ -44,3 +45,12 @@ def test_all_clicks_of_a_document_count(spark):
     want = log.groupBy("docid").agg(F.count(F.lit(1)).alias("n")).join(inputs.indexed(spark, SF), "docid")
     got = times.groupBy("docid").agg(F.sum("times").alias("n"))
     assert want.where("n > 10").count() and got.count() and got.join(want.withColumnRenamed("n", "all"), "docid").where("n <> all").count() == 0
+
+
+def test_words_are_stemmed_in_place(spark):
+    rows = [(1, "Running dogs, C++ runs' x."), (2, None), (3, "the"), (4, "ponies running- ponies")]
+    df = spark.createDataFrame(rows, "id int, text string").repartition(1)
+    got = text.analyze(df, "id", "text", "symbol")
+    assert "SortMergeJoin" not in plan(got) and "BroadcastHashJoin" not in plan(got) and "tokens" in got.columns
+    assert {r.id: r.tokens for r in got.collect()} == {1: ["run", "dog", "c++", "run", "x."], 2: [], 3: [], 4: ["poni", "running-", "poni"]}
+    assert queries.analyze_english(spark, SF)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 0
