@@ -54,3 +54,11 @@ def test_words_are_stemmed_in_place(spark):
     assert "SortMergeJoin" not in plan(got) and "BroadcastHashJoin" not in plan(got) and "tokens" in got.columns
     assert {r.id: r.tokens for r in got.collect()} == {1: ["run", "dog", "c++", "run", "x."], 2: [], 3: [], 4: ["poni", "running-", "poni"]}
     assert queries.analyze_english(spark, SF)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 0
+
+
+def test_postings_are_stored_as_they_come(spark, monkeypatch):
+    """feedback_docs: no posting is dealt by term or sorted to be stored."""
+    plans = []
+    monkeypatch.setattr(index, "written", lambda df, name: plans.append((name, plan(df))) or df)
+    index.Index.store(spark.range(20).selectExpr("id % 5 as docid", "cast(id as string) as term", "id as tf"))
+    assert plans[0][0] == "postings" and "Exchange" not in plans[0][1] and "Sort" not in plans[0][1]
