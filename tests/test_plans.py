@@ -62,3 +62,14 @@ def test_postings_are_stored_as_they_come(spark, monkeypatch):
     monkeypatch.setattr(index, "written", lambda df, name: plans.append((name, plan(df))) or df)
     index.Index.store(spark.range(20).selectExpr("id % 5 as docid", "cast(id as string) as term", "id as tf"))
     assert plans[0][0] == "postings" and "Exchange" not in plans[0][1] and "Sort" not in plans[0][1]
+
+
+def test_documents_without_weights_are_not_joined(spark):
+    """reweight_rlm_multi, reweight_combined_multi: only documents with weights meet them by term."""
+    post = spark.createDataFrame([(1, "a", 2), (1, "b", 1), (2, "a", 4), (3, "c", 1)], "docid long, term string, tf long")
+    weights = spark.createDataFrame([(1, "a", 3), (9, "z", 2)], "docid long, term string, scaled int")
+    got = reweight.reweighted(post, weights, spark.createDataFrame([("h", 0.5)], "variant string, alpha float"))
+    assert sorted(map(tuple, got.collect())) == [("h", 1, "a", 3), ("h", 1, "b", 1), ("h", 2, "a", 4), ("h", 3, "c", 1)] and "LeftAnti" in plan(got)
+    variants = spark.createDataFrame([("x", 0.0, 0.5)], "variant string, alpha float, beta float")
+    both = reweight.reweighted_by_both(post, weights, weights.where("docid = 9").withColumn("docid", F.lit(2).cast("long")).withColumn("term", F.lit("a")), variants)
+    assert sorted(map(tuple, both.collect())) == [("x", 1, "a", 3), ("x", 1, "b", 1), ("x", 2, "a", 3), ("x", 3, "c", 1)] and "LeftAnti" in plan(both)
