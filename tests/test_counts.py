@@ -77,3 +77,15 @@ def test_documents_without_weights_have_no_join_by_term(spark, monkeypatch):
     wide = queries.cg_side_by_side(spark, "/root/testdata/sf0.01")
     text = plan(wide)
     assert "Union" in text and "array_repeat" in text and "HashAggregate" not in text.split("Union")[0]
+
+
+def test_only_wanted_terms_are_stored(spark, folder):
+    """Postings of terms that no topic has are left out before they leave numpy; lengths and results stay whole."""
+    sf, docs = folder
+    terms = spark.createDataFrame([("two",), ("w",), ("nowhere",), ("a",)], "term string")
+    few, all_ = inputs.index(spark, sf, terms), inputs.index(spark, sf)
+    assert sorted(map(repr, few.lengths.collect())) == sorted(map(repr, all_.lengths.collect()))
+    assert sorted(map(repr, few.post.collect())) == sorted(map(repr, all_.post.join(terms, "term", "left_semi").select("docid", "term", "tf").collect()))
+    small = "/root/testdata/sf0.01"
+    wide = queries.cg_side_by_side(spark, small, inputs.topic_terms(spark, small)).where("term is not null")
+    assert wide.count() < queries.cg_side_by_side(spark, small).count() / 2
